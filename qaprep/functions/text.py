@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from qaprep.functions.bind import bind
 
-# The characters a Python `\s` and `\w` match, written as the
-# inside of a Java character class.
+# The characters a Python `\s` and `\w` match. Whitespace is a text
+# of single characters; the others are the insides of Java character classes.
 SPACE = " "
 OTHER_WHITESPACE = (
-    r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 WHITESPACE = SPACE + OTHER_WHITESPACE
-WORD = r"\p{L}\p{N}_"
+# Naming the ASCII part first spares most characters a Unicode lookup.
+LOWER_WORD = r"[a-z0-9_\p{L}\p{N}]+"
+NOT_WORD_OR_SPACE = r"[^a-zA-Z0-9_ \p{L}\p{N}]"
 
-# The rewriting rules of the "13a" BLEU tokenisation.
+# The rewriting rules of the "13a" BLEU tokenisation. Its first
+# class also has the space, which only widens runs that are split on later.
 BLEU_13A_ENTITIES = (
     ("<skipped>", ""),
     ("-\n", ""),
@@ -31,7 +36,7 @@ BLEU_13A_ENTITIES = (
     ("&gt;", ">"),
 )
 BLEU_13A_PATTERNS = (
-    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -40,11 +45,6 @@ BLEU_13A_PATTERNS = (
 BLEU_MODES = ("ws", "13a")
 GRAM_SEPARATOR = "\u0001"
 
-# A run of whitespace that is not already one plain space. Skipping the plain
-# spaces spares a match and a copy for nearly every word.
-_UNTIDY_RUN = f"[{OTHER_WHITESPACE}][{WHITESPACE}]*|{SPACE}[{WHITESPACE}]+"
-_PUNCTUATION = f"[^{WORD}{WHITESPACE}]"
-
 
 def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
@@ -61,14 +61,27 @@ def strip(column: Column) -> Column:
     return F.regexp_replace(_text(column), outer, "")
 
 
+def _spaced(column: Column) -> Column:
+    """Turn every whitespace character into a plain space.
+
+    Mapping characters first leaves a pattern that seldom matches; matching
+    every whitespace run instead takes several times as long.
+    """
+    return F.translate(_text(column), OTHER_WHITESPACE, SPACE * len(OTHER_WHITESPACE))
+
+
+def _tidy(spaced: Column) -> Column:
+    return F.trim(F.regexp_replace(spaced, "  +", SPACE))
+
+
 def clean_text(column: Column) -> Column:
     """Turn every whitespace run into one space and strip the ends."""
-    return F.trim(F.regexp_replace(_text(column), _UNTIDY_RUN, SPACE))
+    return _tidy(_spaced(column))
 
 
 def clean_punct(column: Column) -> Column:
     """Delete punctuation and symbols, then clean whitespace; keeps the case."""
-    return clean_text(F.regexp_replace(_text(column), _PUNCTUATION, ""))
+    return _tidy(F.regexp_replace(_spaced(column), NOT_WORD_OR_SPACE, ""))
 
 
 def clean_lower(column: Column) -> Column:
@@ -102,7 +115,7 @@ def append_end(column: Column, token: str = "[END]") -> Column:
 def word_tokens(column: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
     lowered = F.lower(_text(column))
-    return F.regexp_extract_all(lowered, F.lit(f"[{WORD}]+"), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(LOWER_WORD), F.lit(0))
 
 
 def token_set(column: Column) -> Column:
@@ -127,7 +140,10 @@ def bleu_tokens(column: Column, mode: str = "13a") -> Column:
         text = F.concat(F.lit(SPACE), text, F.lit(SPACE))
         for pattern, parted in BLEU_13A_PATTERNS:
             text = F.regexp_replace(text, pattern, parted)
-    return F.regexp_extract_all(text, F.lit(f"[^{WHITESPACE}]+"), F.lit(0))
+    return bind(
+        clean_text(text),
+        lambda t: F.when(t == "", _strings()).otherwise(F.split(t, SPACE)),
+    )
 
 
 def split_sentences(column: Column) -> Column:

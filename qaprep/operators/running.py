@@ -9,13 +9,12 @@ came before it is carried over from a table with one row per chunk.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK = "_chunk"
+KEY, CHUNK = "_key", "_chunk"
 STEPS_PER_CHUNK = 100_000
 
 
@@ -24,58 +23,63 @@ def step_chunk(step: str, width: int = STEPS_PER_CHUNK) -> Column:
     return F.floor(F.col(step) / width).cast("bigint")
 
 
-def _join_chunks(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys and chunk that also matches NULL keys."""
-    on = [*keys, CHUNK]
-    renamed = totals.withColumnsRenamed({c: f"_of_{c}" for c in on})
-    matches = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
-    joined = df.join(renamed, reduce(lambda a, b: a & b, matches), "left")
-    return joined.drop(*[f"_of_{c}" for c in on])
+def chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Add the columns that `running_before` distributes rows by.
+
+    `chunk` must not decrease along the order. The keys go into one struct,
+    which is never NULL, so that rows without a key stay together too.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    return df.withColumns({KEY: key, CHUNK: chunk})
+
+
+def unchunked(df: DataFrame) -> DataFrame:
+    """Drop the columns that `chunked` added."""
+    return df.drop(KEY, CHUNK)
 
 
 def running_before(
     df: DataFrame,
-    keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column,
     out: str,
     value: Column,
     how: Callable[[Column], Column],
     reverse: bool = False,
 ) -> DataFrame:
-    """Add `how(value)` over the rows of the same keys before each row.
+    """Add `how(value)` over the rows of the same key before each row.
 
-    `how` is `F.max`, `F.min` or `F.sum`. `chunk` must not decrease along the
-    order; with `reverse` the rows after each row count instead, and `order`
-    and `chunk` are both read backwards.
+    `df` comes from `chunked`; several calls in a row share its distribution.
+    `how` is `F.max`, `F.min` or `F.sum`. With `reverse` the rows after each
+    row count instead.
     """
     unbounded, previous = W.unboundedPreceding, -1
     ordered = [c.desc() for c in order] if reverse else list(order)
-    chunked = df.withColumn(CHUNK, chunk).withColumn("_value", value)
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*ordered)
-    rows = chunked.withColumn(
+    valued = df.withColumn("_value", value)
+    inside = W.partitionBy(KEY, CHUNK).orderBy(*ordered)
+    rows = valued.withColumn(
         "_local", how("_value").over(inside.rowsBetween(unbounded, previous))
     )
     chunk_order = F.col(CHUNK).desc() if reverse else F.col(CHUNK)
-    across = W.partitionBy(*keys).orderBy(chunk_order).rowsBetween(unbounded, previous)
-    totals = (
-        chunked.groupBy(*keys, CHUNK)
+    across = W.partitionBy(KEY).orderBy(chunk_order).rowsBetween(unbounded, previous)
+    carried = (
+        valued.groupBy(KEY, CHUNK)
         .agg(how("_value").alias("_total"))
-        .select(*keys, CHUNK, how("_total").over(across).alias("_carried"))
+        .select(KEY, CHUNK, how("_total").over(across).alias("_carried"))
     )
-    local, carried = F.col("_local"), F.col("_carried")
+    local, before = F.col("_local"), F.col("_carried")
     if how is F.sum:
         zero = F.lit(0)
-        merged = F.coalesce(local, zero) + F.coalesce(carried, zero)
+        merged = F.coalesce(local, zero) + F.coalesce(before, zero)
     else:
-        merged = F.greatest(local, carried) if how is F.max else F.least(local, carried)
-    joined = _join_chunks(rows, totals, keys).withColumn(out, merged)
-    return joined.drop(CHUNK, "_value", "_local", "_carried")
+        merged = F.greatest(local, before) if how is F.max else F.least(local, before)
+    joined = rows.join(carried, [KEY, CHUNK], "left")
+    return joined.select(*df.columns, merged.alias(out))
 
 
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, out: str
 ) -> DataFrame:
     """Number the rows of each key from 1 along the order."""
-    before = running_before(df, keys, order, chunk, out, F.lit(1).cast("bigint"), F.sum)
-    return before.withColumn(out, F.col(out) + 1)
+    one = F.lit(1).cast("bigint")
+    before = running_before(chunked(df, keys, chunk), order, out, one, F.sum)
+    return unchunked(before).withColumn(out, F.col(out) + 1)

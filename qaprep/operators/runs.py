@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qaprep.operators.running import STEPS_PER_CHUNK, running_before, step_chunk
+from qaprep.operators.running import (
+    STEPS_PER_CHUNK,
+    chunked,
+    running_before,
+    step_chunk,
+    unchunked,
+)
 
 SEED_PATTERN = r"^(.*)_seed(\d+)$"
 FRONTIER_CHUNKS = 256
@@ -31,8 +37,9 @@ def running_best(
     Only a strict improvement counts; the first step of a run improves.
     """
     how = F.max if greater else F.min
-    best = running_before(
-        df, [run], [F.col(step)], step_chunk(step, width), "best_before", F.col(metric), how
+    rows = chunked(df, [run], step_chunk(step, width))
+    best = unchunked(
+        running_before(rows, [F.col(step)], "best_before", F.col(metric), how)
     )
     value, before = _direction(metric, greater), _direction("best_before", greater)
     return best.withColumn("improved", before.isNull() | (value > before))
@@ -53,44 +60,35 @@ def early_stop(
     `best_step` look at the steps up to the stop, the earliest step on ties.
     """
     evals = df.filter(F.col(metric).isNotNull()).select(run, step, metric)
-    order, chunk = [F.col(step)], step_chunk(step, width)
-    one = F.lit(1).cast("bigint")
-    ranked = running_before(evals, [run], order, chunk, "_rank", one, F.sum)
+    rows, order = chunked(evals, [run], step_chunk(step, width)), [F.col(step)]
+    ranked = running_before(rows, order, "_rank", F.lit(1).cast("bigint"), F.sum)
     entry = F.struct(
-        _direction(metric, greater).alias("score"), (-F.col("_rank")).alias("place")
-    )
-    best = running_before(ranked, [run], order, chunk, "_best", entry, F.max)
-    so_far = F.greatest(F.col("_best"), entry)
-    waited = best.withColumn("_waited", F.col("_rank") + so_far["place"])
-    stops = waited.groupBy(run).agg(
-        F.min(F.when(F.col("_waited") >= patience, F.col(step))).alias("stop_step")
-    )
-    return _best_until(evals, stops, run, step, metric, greater)
-
-
-def _best_until(
-    evals: DataFrame, stops: DataFrame, run: str, step: str, metric: str, greater: bool
-) -> DataFrame:
-    """Best metric, its step and the number of evaluations up to each stop."""
-    renamed = stops.withColumnRenamed(run, "_stop_run")
-    until = evals.join(renamed, F.col(run).eqNullSafe(F.col("_stop_run"))).filter(
-        F.col("stop_step").isNull() | (F.col(step) <= F.col("stop_step"))
-    )
-    entry = F.struct(
-        _direction(metric, greater).alias("score"), (-F.col(step)).alias("place")
-    )
-    best = until.groupBy(run).agg(
-        F.first("stop_step", ignorenulls=True).alias("stop_step"),
-        F.count(F.lit(1)).alias("n_evals"),
-        F.max(entry).alias("_best"),
-    )
-    score = F.col("_best.score") if greater else -F.col("_best.score")
-    return best.select(
+        _direction(metric, greater).alias("score"),
+        (-F.col("_rank")).alias("place"),
+        F.col(step).alias("step"),
+    )
+    scanned = running_before(ranked, order, "_best", entry, F.max)
+    state = F.struct(
+        F.col(step).alias("step"),
+        (F.col("_rank") + 1).alias("n_evals"),
+        F.greatest(F.col("_best"), entry).alias("best"),
+    )
+    states = scanned.withColumn("_state", state)
+    waited = F.col("_rank") + F.col("_state.best.place")
+    # The state at the stop, or at the end of a run that never stops, holds
+    # everything there is to report.
+    ends = states.groupBy(run).agg(
+        F.min(F.when(waited >= patience, F.col("_state"))).alias("_stop"),
+        F.max("_state").alias("_last"),
+    )
+    end = F.coalesce(F.col("_stop"), F.col("_last"))
+    best = end["best"]["score"]
+    return ends.select(
         run,
-        "stop_step",
-        "n_evals",
-        score.alias("best_metric"),
-        (-F.col("_best.place")).alias("best_step"),
+        F.col("_stop.step").alias("stop_step"),
+        end["n_evals"].alias("n_evals"),
+        (best if greater else -best).alias("best_metric"),
+        end["best"]["step"].alias("best_step"),
     )
 
 
@@ -132,15 +130,11 @@ def step_profile(
     unknown, and the first log reports 0 seconds and no rate.
     """
     first = df.groupBy(run, step).agg(F.min(ts).alias(ts))
-    chunk, order = step_chunk(step, width), [F.col(step)]
-    later = running_before(
-        first, [run], order, chunk, "_later", F.col(ts), F.min, reverse=True
-    )
+    rows, order = chunked(first, [run], step_chunk(step, width)), [F.col(step)]
+    later = running_before(rows, order, "_later", F.col(ts), F.min, reverse=True)
     kept = later.filter(F.col("_later").isNull() | (F.col(ts) <= F.col("_later")))
     log = F.struct(F.col(step).alias("step"), F.col(ts).alias("ts"))
-    paired = running_before(
-        kept.drop("_later"), [run], order, chunk, "_previous", log, F.max
-    )
+    paired = running_before(kept, order, "_previous", log, F.max)
     elapsed = F.col(ts) - F.coalesce(F.col("_previous.ts"), F.col(ts))
     steps = F.col(step) - F.coalesce(F.col("_previous.step"), F.lit(0))
     timed = paired.filter(F.col(step) > 0).withColumn("_seconds", elapsed / steps)
@@ -222,10 +216,8 @@ def pareto(
     else:
         placed = points.withColumn("_bounds", bounds.scalar())
     position = F.size(F.filter("_bounds", lambda b: b < F.col(latency)))
-    placed = placed.withColumn("_slot", position).drop("_bounds")
-    scanned = running_before(
-        placed, keys, [F.col(latency)], F.col("_slot"), "_faster", F.col("_top"), F.max
-    )
+    rows = chunked(placed, keys, position).drop("_bounds")
+    scanned = running_before(rows, [F.col(latency)], "_faster", F.col("_top"), F.max)
     front = scanned.filter(
         F.col("_faster").isNull() | (F.col("_top") > F.col("_faster"))
     ).select(*keys, latency, F.col("_top").alias(quality))

@@ -103,38 +103,34 @@ def _with_rank_flags(
     cumulated = sizes.withColumns(
         {"_upto": F.sum("_in_bucket").over(upto), "_rows": F.sum("_in_bucket").over(group)}
     )
-    flagged = hashed
-    for flag, cut in cuts.items():
-        edge = cumulated.withColumn("_cut", cut).filter(
-            (F.col("_upto") - F.col("_in_bucket") < F.col("_cut"))
-            & (F.col("_cut") <= F.col("_upto"))
-        )
-        edge = edge.select(
-            *by,
-            F.col("_bucket").alias("_edge"),
-            (F.col("_cut") - F.col("_upto") + F.col("_in_bucket")).alias("_left"),
-        )
-        if by:
-            renamed = edge.withColumnsRenamed({c: f"_of_{c}" for c in by})
-            same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-            near = hashed.join(renamed, [*same, F.col("_bucket") == F.col("_edge")])
-        else:
-            near = hashed.join(edge, F.col("_bucket") == F.col("_edge"))
-        place = F.row_number().over(W.partitionBy(*by).orderBy("_hash", key))
-        last = near.withColumn("_place", place).filter(F.col("_place") == F.col("_left"))
-        limit = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
-        row = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
-        if by:
-            limits = last.select(*[F.col(c).alias(f"_of_{c}") for c in by], limit.alias("_limit"))
-            same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-            flagged = flagged.join(limits, same, "left")
-            inside = row <= F.col("_limit")
-            flagged = flagged.withColumn(flag, F.coalesce(inside, F.lit(False)))
-            flagged = flagged.drop("_limit", *[f"_of_{c}" for c in by])
-        else:
-            inside = row <= last.select(limit.alias("_limit")).scalar()
-            flagged = flagged.withColumn(flag, F.coalesce(inside, F.lit(False)))
-    return flagged.drop("_hash", "_bucket")
+    edges = F.array(
+        *[F.struct(F.lit(f).alias("_flag"), c.alias("_cut")) for f, c in cuts.items()]
+    )
+    before = F.col("_upto") - F.col("_in_bucket")
+    edge = cumulated.select(
+        *[F.col(c).alias(f"_of_{c}") for c in by],
+        F.col("_bucket").alias("_edge"),
+        "_upto",
+        "_in_bucket",
+        F.inline(edges),
+    ).filter((before < F.col("_cut")) & (F.col("_cut") <= F.col("_upto")))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    near = hashed.join(edge, [*same, F.col("_bucket") == F.col("_edge")])
+    place = F.row_number().over(W.partitionBy("_flag", *by).orderBy("_hash", key))
+    row = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
+    last = near.withColumn("_place", place).filter(
+        F.col("_place") == F.col("_cut") - before
+    )
+    limits = last.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(
+        *[F.max(F.when(F.col("_flag") == f, row)).alias(f) for f in cuts]
+    )
+    if by:
+        limited = hashed.join(limits, same, "left").drop(*[f"_of_{c}" for c in by])
+    else:
+        limit = limits.select(F.struct(*cuts)).scalar()
+        limited = hashed.withColumn("_limit", limit).select("*", "_limit.*").drop("_limit")
+    flags = {f: F.coalesce(row <= F.col(f), F.lit(False)) for f in cuts}
+    return limited.withColumns(flags).drop("_hash", "_bucket")
 
 
 def cap_per_group(

@@ -64,14 +64,14 @@ def encode(
 ) -> DataFrame:
     """`(key, out)`: word ids of the first `max_len` words; key must be unique.
 
-    Rows are distributed by key before words are taken apart. Taking apart,
-    looking up and putting together then happen in place: the texts move once
-    and their words never do. Words outside the vocabulary get the id of
+    The cut word lists are distributed by key before they are taken apart.
+    Taking apart, looking up and putting together then happen in place, so a
+    list moves once and its words never do one by one. Words outside the vocabulary get the id of
     `[UNK]`; a text without words gets an empty array.
     """
     cut = F.slice(word_tokens(F.col(col)), 1, max_len)
-    rows = df.select(key, F.col(col)).repartition(key)
-    words = rows.select(key, F.posexplode_outer(cut).alias("_pos", "token"))
+    rows = df.select(key, cut.alias("_words")).repartition(key)
+    words = rows.select(key, F.posexplode_outer("_words").alias("_pos", "token"))
     ids = vocab.select("id", "token")
     unknown = ids.filter(F.col("token") == UNKNOWN).select("id").scalar()
     found = words.join(F.broadcast(ids), "token", "left")
@@ -123,8 +123,8 @@ def decode(
             ),
         ),
     )
-    rows = df.select(key, ids).repartition(key)
-    places = rows.select(key, F.posexplode_outer(valid).alias("_pos", "id"))
+    rows = df.select(key, valid.alias("_ids")).repartition(key)
+    places = rows.select(key, F.posexplode_outer("_ids").alias("_pos", "id"))
     words = vocab.select("id", "token").filter(~F.col("token").isin(list(specials)))
     found = places.join(F.broadcast(words), "id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))

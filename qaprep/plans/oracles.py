@@ -654,7 +654,7 @@ FROM cleaned c JOIN raw_qa r ON r.row_id = c.row_id""",
 SELECT {answer("abstract_trimmed")} AS input_text, oracle_text AS target_text
 FROM scored WHERE {KEPT}""",
     "require_columns": f"WITH {RAW} SELECT row_id, query, label FROM raw_qa",
-    "path_filter": f"WITH {SUMM} SELECT source, target FROM summ",
+    "path_filter": f"WITH {SUMM} SELECT '' AS source, target FROM summ",
     "jsonl_by_step": f"""WITH RECURSIVE {PREDICTIONS}
 SELECT row_id, predicted, reference, (row_id % 3)::INTEGER AS step FROM predictions""",
     "metrics_round_trip": f"""WITH {RUN_METRICS} SELECT run, round(latency, 6) AS latency,

@@ -533,7 +533,7 @@ def require_columns(spark, sf_dir):
 
 def path_filter(spark, sf_dir):
     path = scratch_path(spark, "named")
-    rows = tables.summ_raw(spark, sf_dir).select("source", "target")
+    rows = tables.summ_raw(spark, sf_dir).select("target")
     rows.write.json(f"{path}/abstract")
     writers.write_csv(rows, f"{path}/other")
     return readers.read_summ_jsonl(spark, path, readers.name_glob("part-", ".JSON"))

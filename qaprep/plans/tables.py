@@ -12,7 +12,7 @@ from qaprep.plans.curate import CurateOptions, curate
 RUNS = 20
 SEEDS = 3
 FIRST_SEED = 13
-DAY_SECONDS = 86_400
+HOUR_SECONDS = 3600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +87,9 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
         _seconds().alias("ts_s"),
         "value",
     )
-    day = F.floor(F.col("ts_s") / DAY_SECONDS).cast("bigint")
+    hour = F.floor(F.col("ts_s") / HOUR_SECONDS).cast("bigint")
     order = [F.col("ts_s"), F.col("event_id")]
-    return number_rows(events, ["run"], order, day, "number")
+    return number_rows(events, ["run"], order, hour, "number")
 
 
 def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
