@@ -24,18 +24,20 @@ def step_chunk(step: str, width: int = STEPS_PER_CHUNK) -> Column:
 
 
 def chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
-    """Add the columns that `running_before` distributes rows by.
+    """Put the keys into one column and add the chunk to distribute rows by.
 
-    `chunk` must not decrease along the order. The keys go into one struct,
-    which is never NULL, so that rows without a key stay together too.
+    `chunk` must not decrease along the order. The keys become a struct, which
+    is never NULL, so rows without a key stay together too. They are not kept
+    twice: then the scan and its carry can read one and the same shuffle.
     """
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
-    return df.withColumns({KEY: key, CHUNK: chunk})
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    return df.withColumns({KEY: key, CHUNK: chunk}).drop(*keys)
 
 
-def unchunked(df: DataFrame) -> DataFrame:
-    """Drop the columns that `chunked` added."""
-    return df.drop(KEY, CHUNK)
+def unchunked(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring the keys back and drop what `chunked` added."""
+    rest = [c for c in df.columns if c not in (KEY, CHUNK)]
+    return df.select(*[F.col(KEY)[k].alias(k) for k in keys], *rest)
 
 
 def running_before(
@@ -82,4 +84,4 @@ def number_rows(
     """Number the rows of each key from 1 along the order."""
     one = F.lit(1).cast("bigint")
     before = running_before(chunked(df, keys, chunk), order, out, one, F.sum)
-    return unchunked(before).withColumn(out, F.col(out) + 1)
+    return unchunked(before, keys).withColumn(out, F.col(out) + 1)

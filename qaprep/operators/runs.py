@@ -38,9 +38,8 @@ def running_best(
     """
     how = F.max if greater else F.min
     rows = chunked(df, [run], step_chunk(step, width))
-    best = unchunked(
-        running_before(rows, [F.col(step)], "best_before", F.col(metric), how)
-    )
+    scanned = running_before(rows, [F.col(step)], "best_before", F.col(metric), how)
+    best = unchunked(scanned, [run])
     value, before = _direction(metric, greater), _direction("best_before", greater)
     return best.withColumn("improved", before.isNull() | (value > before))
 
@@ -77,7 +76,7 @@ def early_stop(
     waited = F.col("_rank") + F.col("_state.best.place")
     # The state at the stop, or at the end of a run that never stops, holds
     # everything there is to report.
-    ends = states.groupBy(run).agg(
+    ends = unchunked(states, [run]).groupBy(run).agg(
         F.min(F.when(waited >= patience, F.col("_state"))).alias("_stop"),
         F.max("_state").alias("_last"),
     )
@@ -139,7 +138,7 @@ def step_profile(
     steps = F.col(step) - F.coalesce(F.col("_previous.step"), F.lit(0))
     timed = paired.filter(F.col(step) > 0).withColumn("_seconds", elapsed / steps)
     rate = F.when(F.col("_seconds") > 0, F.round(1.0 / F.col("_seconds"), 4))
-    return timed.select(
+    return unchunked(timed, [run]).select(
         run,
         step,
         F.round("_seconds", 4).alias("step_time_sec"),
@@ -220,7 +219,8 @@ def pareto(
     scanned = running_before(rows, [F.col(latency)], "_faster", F.col("_top"), F.max)
     front = scanned.filter(
         F.col("_faster").isNull() | (F.col("_top") > F.col("_faster"))
-    ).select(*keys, latency, F.col("_top").alias(quality))
+)
+    front = unchunked(front, keys).select(*keys, latency, F.col("_top").alias(quality))
     on = [*keys, latency, quality]
     renamed = front.withColumnsRenamed({c: f"_of_{c}" for c in on})
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]

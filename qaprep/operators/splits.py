@@ -115,6 +115,8 @@ def _with_rank_flags(
         F.inline(edges),
     ).filter((before < F.col("_cut")) & (F.col("_cut") <= F.col("_upto")))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    # Without groups there is one edge per cut, so it can go to every task.
+    edge = edge if by else F.broadcast(edge)
     near = hashed.join(edge, [*same, F.col("_bucket") == F.col("_edge")])
     place = F.row_number().over(W.partitionBy("_flag", *by).orderBy("_hash", key))
     row = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))

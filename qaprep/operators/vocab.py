@@ -61,21 +61,21 @@ def encode(
     max_len: int,
     key: str = "row_id",
     out: str = "input_ids",
+    unknown_id: int = SPECIALS.index(UNKNOWN),
 ) -> DataFrame:
     """`(key, out)`: word ids of the first `max_len` words; key must be unique.
 
     The cut word lists are distributed by key before they are taken apart.
     Taking apart, looking up and putting together then happen in place, so a
-    list moves once and its words never do one by one. Words outside the vocabulary get the id of
-    `[UNK]`; a text without words gets an empty array.
+    list moves once and its words never do one by one. Words outside the vocabulary get
+    `unknown_id`; a text without words gets an empty array.
     """
     cut = F.slice(word_tokens(F.col(col)), 1, max_len)
     rows = df.select(key, cut.alias("_words")).repartition(key)
     words = rows.select(key, F.posexplode_outer("_words").alias("_pos", "token"))
     ids = vocab.select("id", "token")
-    unknown = ids.filter(F.col("token") == UNKNOWN).select("id").scalar()
     found = words.join(F.broadcast(ids), "token", "left")
-    entry = F.struct("_pos", F.coalesce(F.col("id"), unknown).alias("id"))
+    entry = F.struct("_pos", F.coalesce(F.col("id"), F.lit(unknown_id)).alias("id"))
     placed = F.when(F.col("_pos").isNotNull(), entry)
     collected = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
     return collected.select(key, F.transform("_ids", lambda e: e["id"]).alias(out))
