@@ -6,6 +6,8 @@ compared there: nothing is exploded and nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,14 +47,27 @@ def _shared(left: Column, right: Column) -> Column:
     return F.aggregate(union, start, step, lambda state: state["shared"])
 
 
-def clipped_matches(left: Column, right: Column) -> Column:
-    """Sum over grams of the smaller of the two counts.
+def clipped_each(
+    pairs: Sequence[tuple[Column, Column]],
+    body: Callable[[Column, Column, Column], Column] = lambda matches, left, right: matches,
+) -> Column:
+    """For each pair of gram arrays, `body(matches, left, right)`, as an array.
 
-    The distinct grams in common come from the fast hash-based built-in. Only
-    the repeats, usually few, go through the slower counting pass.
+    The matches are the sum over grams of the smaller of the two counts. The
+    distinct grams in common come from the fast hash-based built-in. Only the
+    repeats, usually few, go through the slower counting pass.
     """
-    return bind(
-        F.struct(left.alias("left"), right.alias("right")),
-        lambda pair: F.size(F.array_intersect(pair["left"], pair["right"]))
-        + _shared(_repeats(pair["left"]), _repeats(pair["right"])),
-    )
+
+    def one(pair: Column) -> Column:
+        left, right = pair["left"], pair["right"]
+        distinct = F.size(F.array_intersect(left, right))
+        matches = distinct + _shared(_repeats(left), _repeats(right))
+        return bind(matches, lambda m: body(m, left, right))
+
+    given = [F.struct(a.alias("left"), b.alias("right")) for a, b in pairs]
+    return F.transform(F.array(*given), one)
+
+
+def clipped_matches(left: Column, right: Column) -> Column:
+    """Sum over grams of the smaller of the two counts."""
+    return F.get(clipped_each([(left, right)]), F.lit(0))

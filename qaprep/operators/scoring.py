@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaprep.functions.bind import bind
-from qaprep.functions.counts import clipped_matches
+from qaprep.functions.counts import clipped_each
 from qaprep.functions.lcs import lcs_len, lcs_many
 from qaprep.functions.text import bleu_tokens, ngrams
 
@@ -30,11 +30,15 @@ def f1(matches: Column, predicted: Column, reference: Column) -> Column:
     return F.when(matches > 0, score).otherwise(F.lit(0.0))
 
 
+def rouge_ns(predicted: Column, reference: Column, orders: Sequence[int]) -> Column:
+    """ROUGE-N F1 of two token arrays for each order, as an array."""
+    pairs = [(ngrams(predicted, n), ngrams(reference, n)) for n in orders]
+    return clipped_each(pairs, lambda m, left, right: f1(m, F.size(left), F.size(right)))
+
+
 def rouge_n(predicted: Column, reference: Column, n: int) -> Column:
     """ROUGE-N F1 of two token arrays."""
-    matches = clipped_matches(ngrams(predicted, n), ngrams(reference, n))
-    pred_grams, ref_grams = [F.size(t) - (n - 1) for t in (predicted, reference)]
-    return bind(matches, lambda m: f1(m, pred_grams, ref_grams))
+    return F.get(rouge_ns(predicted, reference, (n,)), F.lit(0))
 
 
 def rouge_l(predicted: Column, reference: Column, stem: bool = False) -> Column:
@@ -64,14 +68,17 @@ def bleu_counts(predicted: Column, reference: Column, mode: str = "13a") -> Colu
     In `ws` mode a prediction too short for an order still counts one gram
     there, as the whitespace-splitting scorer does; in `13a` mode it counts none.
     """
-    pred_len = F.size(predicted)
-    floor = 1 if mode == "ws" else 0
-    matches = [
-        clipped_matches(ngrams(predicted, n), ngrams(reference, n)) for n in BLEU_ORDERS
-    ]
-    totals = [F.greatest(pred_len - (n - 1), F.lit(floor)) for n in BLEU_ORDERS]
-    values = [pred_len, F.size(reference), *matches, *totals]
-    return F.struct(*[v.alias(f) for v, f in zip(values, BLEU_FIELDS, strict=True)])
+    floor = F.lit(1 if mode == "ws" else 0)
+    pairs = [(ngrams(predicted, n), ngrams(reference, n)) for n in BLEU_ORDERS]
+
+    def counts(matches: Column) -> Column:
+        pred_len = F.size(predicted)
+        clipped = [F.get(matches, F.lit(n - 1)) for n in BLEU_ORDERS]
+        totals = [F.greatest(pred_len - (n - 1), floor) for n in BLEU_ORDERS]
+        values = [pred_len, F.size(reference), *clipped, *totals]
+        return F.struct(*[v.alias(f) for v, f in zip(values, BLEU_FIELDS, strict=True)])
+
+    return bind(clipped_each(pairs), counts)
 
 
 def bleu_score(counts: dict[str, Column]) -> Column:

@@ -18,7 +18,7 @@ from qaprep.operators.scoring import (
     bleu_score,
     is_exact,
     rouge_l,
-    rouge_n,
+    rouge_ns,
     sentence_bleu,
     sum_bleu_counts,
     with_bleu_counts,
@@ -42,9 +42,11 @@ def with_rouge(df: DataFrame, stem: bool = True) -> DataFrame:
             {"_pred": stem_tokens(F.col("_pred")), "_ref": stem_tokens(F.col("_ref"))}
         )
     pred, ref = F.col("_pred"), F.col("_ref")
-    scores = (rouge_n(pred, ref, 1), rouge_n(pred, ref, 2), rouge_l(pred, ref))
-    named = dict(zip(ROUGE_COLUMNS, scores, strict=True))
-    return tokens.withColumns(named).drop("_pred", "_ref")
+    scored = tokens.withColumns(
+        {"_ns": rouge_ns(pred, ref, (1, 2)), "rougeL": rouge_l(pred, ref)}
+    )
+    ns = [F.get("_ns", F.lit(i)) for i in range(2)]
+    return scored.withColumns({"rouge1": ns[0], "rouge2": ns[1]}).drop("_pred", "_ref", "_ns")
 
 
 def _mean(column: str | Column) -> Column:
