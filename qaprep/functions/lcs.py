@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from qaprep.functions.stem import stem_words
+from qaprep.functions.stem import flatten, stem_words
 
 
 def positions(reference: Sequence[int]) -> dict[int, int]:
@@ -60,9 +60,9 @@ def _token_ids(tokens: list[pa.Array], stem: bool) -> list[list[int]]:
 def _lcs_udf(stem: bool):
     @F.arrow_udf(ArrayType(IntegerType()))
     def lcs(candidates: pa.Array, reference: pa.Array) -> pa.Array:
-        inner = candidates.flatten()
+        inner = flatten(candidates)
         rows, texts, refs = _bounds(candidates), _bounds(inner), _bounds(reference)
-        left, right = _token_ids([inner.flatten(), reference.flatten()], stem)
+        left, right = _token_ids([flatten(inner), flatten(reference)], stem)
         lengths = []
         for row in range(len(reference)):
             ref = right[refs[row] : refs[row + 1]]

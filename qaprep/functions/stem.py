@@ -192,9 +192,18 @@ def stem_words(words: list[str]) -> list[str]:
     return [porter_stem(w) if len(w) > 3 else w for w in words]
 
 
+def flatten(lists: pa.Array) -> pa.Array:
+    """The values of a list array; a batch without any gives a sound empty array.
+
+    Empty vectors arrive without their offset buffers, which later calls need.
+    """
+    values = lists.flatten()
+    return values if len(values) else pa.array([], values.type)
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _stem_arrays(tokens: pa.Array) -> pa.Array:
-    encoded = tokens.flatten().dictionary_encode()
+    encoded = flatten(tokens).dictionary_encode()
     stems = pa.array(stem_words(encoded.dictionary.to_pylist()), pa.string())
     lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
