@@ -50,9 +50,13 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _strings(*values: str) -> Column:
-    """An array literal that is typed even when it is empty."""
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+def _parts(cleaned: Column, separator: str) -> Column:
+    """Parts of cleaned text, none for an empty one.
+
+    Cleaned text has no empty parts of its own. Testing for the empty text
+    instead would evaluate the cleaning twice.
+    """
+    return F.array_remove(F.split(_text(cleaned), separator), "")
 
 
 def strip(column: Column) -> Column:
@@ -102,8 +106,7 @@ def normalize_label(column: Column) -> Column:
 
 def word_count(column: Column) -> Column:
     """Number of space-separated words of cleaned text; 0 when empty."""
-    words = F.size(F.split(column, SPACE))
-    return F.when(_text(column) == "", 0).otherwise(words)
+    return F.size(_parts(column, SPACE))
 
 
 def append_end(column: Column, token: str = "[END]") -> Column:
@@ -140,16 +143,12 @@ def bleu_tokens(column: Column, mode: str = "13a") -> Column:
         text = F.concat(F.lit(SPACE), text, F.lit(SPACE))
         for pattern, parted in BLEU_13A_PATTERNS:
             text = F.regexp_replace(text, pattern, parted)
-    return bind(
-        clean_text(text),
-        lambda t: F.when(t == "", _strings()).otherwise(F.split(t, SPACE)),
-    )
+    return _parts(clean_text(text), SPACE)
 
 
 def split_sentences(column: Column) -> Column:
     """Sentences of cleaned text: a break follows `.`, `!` or `?` and a space."""
-    sentences = F.split(column, "(?<=[.!?]) ")
-    return F.when(_text(column) == "", _strings()).otherwise(sentences)
+    return _parts(column, "(?<=[.!?]) ")
 
 
 def trim_sentences(sentences: Column, limit: int = 8) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
 SPLIT_MODES = ("hash", "exact", "floor")
-TOP_K_ROWS = 10_000
+TOP_K_ROWS = 1_000
 
 
 def hash_hex(key: str, seed: int) -> Column:

@@ -52,7 +52,8 @@ def read_table_csv(
     wanted = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     types = {f.name: f.dataType for f in wanted}
     found = StructType([StructField(c, types.get(c, StringType())) for c in header])
-    df = spark.read.schema(found).options(**options).csv(path)
+    # Files whose header differs from the first one's fail instead of shifting.
+    df = spark.read.schema(found).options(**options).csv(path, enforceSchema=False)
     require_columns(df, required)
     return df.select(*[c for c in header if c in types])
 
