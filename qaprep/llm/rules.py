@@ -30,11 +30,11 @@ REACH = 3
 #: its quartile: thousandths, and hundredths of a character for the length.
 RATES = {
     "symbol_rate": (False, 60),
-    "dup_line_rate": (False, 200),
-    "repeat_rate": (False, 150),
+    "dup_line_rate": (False, 400),
+    "repeat_rate": (False, 250),
     "mark_rate": (False, 150),
     "upper_rate": (False, 250),
-    "word_length": (True, 250),
+    "word_length": (True, 400),
 }
 
 
