@@ -141,31 +141,41 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, text: str) -> DataF
     """(entity, term, share): terms and the share of the entity's information.
 
     The share is PMI(entity; term) / information(entity), from the numbers of
-    documents that hold the entity, the term, and both near each other.
+    documents that hold the entity, the term, and both near each other. How
+    many documents with entities hold a term is a lower bound of the second
+    number. It rules out common terms before all documents are counted.
     """
     near = _contexts(found)
-    pairs = write_table(
+    holds = found.select(F.explode(F.array_distinct(F.transform(_all_entities(), lambda e: e["entity"]))).alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = F.lit(documents.count()).cast("double")
+
+    def share(n_term: str) -> Column:
+        together = F.least("both", "n_entity", n_term)
+        mutual = F.log2(together * total / (F.col("n_entity") * F.col(n_term)))
+        return mutual / F.log2(total / F.col("n_entity"))
+
+    def words(rows: DataFrame) -> DataFrame:
+        parts = F.split(F.lower(F.col(text)), f"(?U)[^{WORD[1:-1]}]+")
+        return rows.select(F.explode(F.array_distinct(parts)).alias("term"))
+
+    pairs = (
         near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
         .groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both"))
-        .where(F.col("contexts") >= CONTEXTS),
-        "pairs",
+        .where(F.col("contexts") >= CONTEXTS)
     )
-    terms = write_table(pairs.select("term").distinct(), "terms")
-    words = documents.select(
-        F.explode(F.array_distinct(F.split(F.lower(F.col(text)), f"(?U)[^{WORD[1:-1]}]+"))).alias("term")
+    least = words(found).groupBy("term").agg(F.count("*").alias("n_least"))
+    pairs = write_table(
+        pairs.join(least, "term").join(entities, "entity").where(share("n_least") >= GENERALISE), "pairs"
     )
+    terms = write_table(pairs.select("term").distinct(), "terms")
+    everywhere = words(documents)
     if terms.count() <= LISTED_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    holds = found.select(F.explode(F.array_distinct(F.transform(_all_entities(), lambda e: e["entity"]))).alias("entity"))
-    entities = holds.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = F.lit(documents.count()).cast("double")
-    information = F.log2(total / F.col("n_entity"))
-    mutual = F.log2(F.col("together") * total / (F.col("n_entity") * F.col("n_term")))
+        everywhere = everywhere.join(F.broadcast(terms), "term", "left_semi")
+    frequency = everywhere.groupBy("term").agg(F.count("*").alias("n_term"))
     return (
-        pairs.join(frequency, "term").join(entities, "entity")
-        .withColumn("together", F.least("both", "n_entity", "n_term"))
-        .select("entity", "term", (mutual / information).alias("share"))
+        pairs.join(frequency, "term")
+        .select("entity", "term", share("n_term").alias("share"))
         .where(F.col("share") >= GENERALISE)
     )
 
