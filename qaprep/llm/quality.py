@@ -178,7 +178,7 @@ def fit(
         with_statistics(chosen, "text").select(
             "statistics", "target",
             (F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(4)) == 0).alias("calibrates"),
-        ).repartition(FIT_TASKS, "statistics"),
+        ).repartition(FIT_TASKS),
         "statistics",
     )
     d = STATISTICS
