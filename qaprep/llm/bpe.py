@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from qaprep.llm.common import append_columns, text_bytes
 
 #: Words whose tokens a worker remembers; the memory is emptied when it is full.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Longer words are merged exactly at once, by a method that is not quadratic.
 LONG_WORD = 256
 HASH_BASE, HASH_SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(42)
@@ -346,6 +346,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFram
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat, pa.int32()))
             return [lists, pa.array([coder.decode(i) for i in ids], pa.string())]
 
+        compute.close = coder.forget
         return compute
 
     fields = [

@@ -17,7 +17,7 @@ from qaprep.session import scratch_path
 SPACES = r"[\x20\x09-\x0D]"
 #: Text bytes that one call of a vectorised function handles; bounds the
 #: working memory of a task whatever the number of rows in an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def fold(id_column: str, parts: int) -> Column:
@@ -82,6 +82,7 @@ def append_columns(
                 new = compute(part.column(at), *also)
                 old = [part.column(i) for i in range(n_kept)]
                 yield pa.RecordBatch.from_arrays([*old, *new], names)
+        getattr(compute, "close", lambda: None)()  # a worker outlives its task
 
     return kept.mapInArrow(run, schema)
 
