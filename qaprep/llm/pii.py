@@ -28,7 +28,7 @@ _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 #: Words on each side of an entity that make up its context.
 CONTEXT = 6
 #: Different contexts of a term and an entity at least; copies are one context.
-CONTEXTS = 2
+CONTEXTS = 3
 #: Shares of an entity's information from which a term is generalised, removed.
 GENERALISE, REMOVE = 0.6, 0.8
 #: Terms up to which the list goes to every task; a longer one is joined.

@@ -1,5 +1,66 @@
-"""SQL counterparts of the queries that SQL can express."""
+"""SQL counterparts of the queries that SQL can express.
+
+The learned operators, 64-bit shingle hashes and tokens have none; tests hold
+them against plain Python, the tokenizers library and held-out labels.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from qaprep.llm import warc
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _every(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
+
+
+def _urn(*parts: str) -> str:
+    h = f"md5(concat_ws('|', {', '.join(parts)}))"
+    cuts = [f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return f"'<urn:uuid:' || concat_ws('-', {', '.join(cuts)}) || '>'"
+
+
+def _unescaped(text: str) -> str:
+    for entity, sign in warc.ENTITIES:
+        text = f"replace({text}, {_quoted(entity)}, {_quoted(sign)})"
+    return text
+
+
+def _warc() -> str:
+    crlf = "chr(13) || chr(10)"
+    text = _every("payload", warc.DROPPED, "''")
+    text = _every(_every(text, warc.BREAKS, "chr(10)"), warc.TAGS, "''")
+    text = _every(_unescaped(text), r"[ \t\r\f\x0B]+", "' '")
+    text = _every(_every(text, r" ?\n ?", "chr(10)"), r"\n+", "chr(10)")
+    text = _every(text, r"^[ \n]+|[ \n]+$", "''")
+    title = f"trim({_every(_unescaped(f'regexp_extract(payload, {_quoted(warc.TITLE)}, 1)'), r'[ \t\r\n\f]+', _quoted(' '))})"
+    links = f"regexp_extract_all(payload, {_quoted(warc.LINK)}, 1)"
+    out = f"list_transform({links}, lambda x: {crlf} || 'outlink: ' || {_every(_unescaped('x'), r'[\r\n]+', _quoted(''))})"
+    fields = (
+        f"'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, {_quoted(warc.LANGUAGE)}, 1)"
+        f" || {crlf} || 'source-digest: ' || source_digest || array_to_string({out}, '')"
+    )
+    return f"""
+WITH page AS (
+  SELECT page_id, url, coalesce(html, '') AS payload FROM pages
+), response AS (
+  SELECT *, {_urn("'response'", "coalesce(url, '')", "md5(payload)")} AS refers_to,
+    'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf}
+      || 'Content-Length: ' || octet_length(encode(payload)) AS source_header,
+    'sha256:' || sha256(payload) AS source_digest
+  FROM page
+), derived AS (
+  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {fields} AS content FROM response
+  UNION ALL
+  SELECT *, 'conversion', 'text/plain', {text} FROM response
+)
+SELECT page_id, warc_type, {_urn("warc_type", "refers_to")} AS record_id, refers_to, url AS target_uri,
+  '{warc.NEVER}' AS date, content_type, source_header, source_digest,
+  'sha256:' || sha256(content) AS block_digest, octet_length(encode(content))::BIGINT AS content_length, content
+FROM derived"""
+
+
+ORACLES: dict[str, str] = {"op10_warc": _warc()}
