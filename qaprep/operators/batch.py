@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, FloatType, StringType
 
+from qaprep.functions.bind import compute_once
 from qaprep.functions.prompts import paraphrase_prompt
 
 NLI_LABELS = ("entailment", "neutral", "contradiction")
@@ -26,19 +27,20 @@ def batch_score(
 
     `make_predict_fn` runs once per Python worker and returns a function from
     one NumPy array per input to an array of the same length. The prediction
-    stays in the row it was made from.
+    stays in the row it was made from. The model runs once a row, also if the
+    prediction is filtered on later.
     """
     predict = predict_batch_udf(
         make_predict_fn, return_type=return_type or StringType(), batch_size=batch_size
     )
     texts = [F.coalesce(F.col(c), F.lit("")) for c in inputs]
-    return df.withColumn(out, predict(*texts))
+    return compute_once(df, {out: predict(*texts)})
 
 
 def augment(df: DataFrame, make_predict_fn: Callable, batch_size: int = 4) -> DataFrame:
     """Add `target_text_paraphrase` from the paraphrase prompt of the target."""
     if "target_text" not in df.columns:
-        raise ValueError("Missing columns: ['target_text']")
+        raise ValueError("augment needs a column target_text")
     prompted = df.withColumn("_prompt", paraphrase_prompt(F.col("target_text")))
     scored = batch_score(
         prompted, ["_prompt"], make_predict_fn, None, batch_size, "target_text_paraphrase"

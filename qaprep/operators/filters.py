@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns of a curated table.
 CURATED_COLUMNS = (
     "input_text",
     "target_text",

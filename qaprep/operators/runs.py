@@ -20,8 +20,12 @@ FRONTIER_CHUNKS = 256
 
 
 def _direction(metric: str, greater: bool) -> Column:
-    """The metric with its sign set so that larger is always better."""
-    return F.col(metric) if greater else -F.col(metric)
+    """The metric with its sign set so that larger is always better.
+
+    NaN compares with nothing, so it becomes NULL and never counts as better.
+    """
+    value = F.col(metric) if greater else -F.col(metric)
+    return F.when(~F.isnan(F.col(metric).cast("double")), value)
 
 
 def running_best(
@@ -34,14 +38,15 @@ def running_best(
 ) -> DataFrame:
     """Add the best metric of earlier steps and whether this step improves it.
 
-    Only a strict improvement counts; the first step of a run improves.
+    Only a strict improvement counts; the first value of a run improves. NULL
+    and NaN are no values.
     """
     how = F.max if greater else F.min
     rows = chunked(df, [run], step_chunk(step, width))
-    scanned = running_before(rows, [F.col(step)], "best_before", F.col(metric), how)
+    scanned = running_before(rows, [F.col(step)], "best_before", _direction(metric, True), how)
     best = unchunked(scanned, [run])
     value, before = _direction(metric, greater), _direction("best_before", greater)
-    return best.withColumn("improved", before.isNull() | (value > before))
+    return best.withColumn("improved", F.coalesce(value > before, value.isNotNull()))
 
 
 def early_stop(
@@ -104,7 +109,7 @@ def best_checkpoint(
     if patience is not None:
         stopped = early_stop(df, patience, run, step, metric, greater, width)
         return stopped.select(run, "best_step", "best_metric")
-    evals = df.filter(F.col(metric).isNotNull())
+    evals = df.filter(_direction(metric, greater).isNotNull())
     entry = F.struct(
         _direction(metric, greater).alias("score"), (-F.col(step)).alias("place")
     )
@@ -155,20 +160,26 @@ def compare_runs(
     counts with its maximum. With a baseline run, `<metric>_ratio` is the value
     over the baseline's. Give `metrics` to save the job that lists them.
     """
-    wide = df.groupBy("run").pivot("metric", list(metrics) if metrics else None)
-    table = wide.agg(F.max("value"))
-    if "null" in table.columns:
-        table = table.drop("null")
+    named = df.filter(F.col("metric").isNotNull())
+    wide = named.groupBy("run").pivot("metric", list(metrics) if metrics else None)
+    # Runs all of whose metrics lack a name stay, with NULL everywhere.
+    table = df.select("run").distinct().withColumnRenamed("run", "_run")
+    wide = wide.agg(F.max("value"))
+    table = table.join(wide, F.col("_run").eqNullSafe(F.col("run")), "left").select(
+        F.col("_run").alias("run"), *[F.col(f"`{c}`") for c in wide.columns if c != "run"]
+    )
     if baseline is None:
         return table
     names = [c for c in table.columns if c != "run"]
-    base = df.filter((F.col("run") == baseline) & F.col("metric").isNotNull())
-    ratios = {
-        f"{name}_ratio": F.col(name)
-        / base.filter(F.col("metric") == name).agg(F.max("value")).scalar()
-        for name in names
-    }
-    return table.withColumns(ratios)
+    ratio = [(F.col(f"`{c}`") / F.col("_base")[c]).alias(f"{c}_ratio") for c in names]
+    values = named.filter(F.col("run") == baseline).groupBy("metric").agg(F.max("value").alias("value"))
+    # One row: a map from metric to the baseline's value.
+    base = values.agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("_base")
+    )
+    return table.withColumn("_base", base.scalar()).select(
+        "run", *[F.col(f"`{c}`") for c in names], *ratio
+    )
 
 
 def seed_variance(df: DataFrame) -> DataFrame:
@@ -197,11 +208,13 @@ def pareto(
 ) -> DataFrame:
     """Rows that no other row of the group beats in latency and quality.
 
+    A row whose latency or quality is NULL or NaN is no point and never kept.
     Rows are reduced to the best quality of each latency, which are then
     scanned in chunks between approximate latency quantiles.
     """
     keys = list(by)
-    points = df.groupBy(*keys, latency).agg(F.max(quality).alias("_top"))
+    known = _direction(latency, True).isNotNull() & _direction(quality, True).isNotNull()
+    points = df.filter(known).groupBy(*keys, latency).agg(F.max(quality).alias("_top"))
     cuts = [i / chunks for i in range(1, chunks)]
     bounds = points.groupBy(*keys).agg(
         F.percentile_approx(latency, F.array(*[F.lit(c) for c in cuts]), 10 * chunks).alias(

@@ -16,12 +16,21 @@ from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
 SPLIT_MODES = ("hash", "exact", "floor")
-TOP_K_ROWS = 1_000
 
 
-def hash_hex(key: str, seed: int) -> Column:
-    """MD5 of `seed:key` as hexadecimal text."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+def hash_hex(df: DataFrame, key: str, seed: int) -> Column:
+    """MD5 of `seed:key` as hexadecimal text.
+
+    A row without key is named by its content, so such rows spread too.
+    """
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row "), _content(df)))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+
+def _content(df: DataFrame) -> Column:
+    """A hash of the whole row as text; maps cannot be hashed and are left out."""
+    names = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*names).cast("string")
 
 
 def hash_bucket(hashed: Column, buckets: int) -> Column:
@@ -30,8 +39,9 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
 
 
 def _check_fractions(fractions: Sequence[float]) -> None:
-    if round(sum(fractions), 6) != 1.0:
-        raise ValueError("train, validation and test fractions must sum to 1.0")
+    total = sum(fractions)
+    if abs(total - 1) > 1e-6 or min(fractions) < 0:
+        raise ValueError(f"shares of a split must not be negative and sum to 1, not {total}")
 
 
 def _resolution(fractions: Sequence[float]) -> int:
@@ -55,14 +65,15 @@ def split_dataset(
 
     `hash` decides each row by itself: no shuffle, sizes about right. `exact`
     takes the ceiling of the test share in two stages; `floor` rounds the train
-    and validation sizes down. Both need `key` to be unique.
+    and validation sizes down. Rows of one key are ordered by their content; a
+    NULL key is no key, and the row's content decides instead.
     """
     _check_fractions((train, validation, test))
     if mode not in SPLIT_MODES:
         raise ValueError(f"Unknown split mode: {mode}")
     if mode == "hash":
         buckets = _resolution((train, validation, test))
-        bucket = hash_bucket(hash_hex(key, seed), buckets)
+        bucket = hash_bucket(hash_hex(df, key, seed), buckets)
         first, second = round(train * buckets), round((train + validation) * buckets)
         name = F.when(bucket < first, SPLITS[0]).when(bucket < second, SPLITS[1])
         return df.withColumn("split", name.otherwise(SPLITS[2]))
@@ -93,9 +104,14 @@ def _with_rank_flags(
     A cut is a number of rows, as a column over the group's size `_rows`.
     """
     by = list(by)
-    hashed = df.withColumn("_hash", hash_hex(key, seed)).withColumn(
-        "_bucket", F.substring("_hash", 1, 4)
-    )
+    # Only rows that are equal in all columns are told apart by their place, and
+    # it does not matter which of them is taken.
+    hashed = df.withColumns(
+        {
+            "_hash": hash_hex(df, key, seed),
+            "_tie": F.struct(_content(df).alias("c"), F.monotonically_increasing_id().alias("i")),
+        }
+    ).withColumn("_bucket", F.substring("_hash", 1, 4))
     # At most 16^4 buckets a group, counted before the shuffle.
     sizes = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
     group = W.partitionBy(*by)
@@ -117,9 +133,11 @@ def _with_rank_flags(
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
     # Without groups there is one edge per cut, so it can go to every task.
     edge = edge if by else F.broadcast(edge)
-    near = hashed.join(edge, [*same, F.col("_bucket") == F.col("_edge")])
-    place = F.row_number().over(W.partitionBy("_flag", *by).orderBy("_hash", key))
-    row = F.struct(F.col("_hash").alias("h"), F.col(key).alias("k"))
+    # Of the rows only what decides their rank goes through the first passes.
+    slim = hashed.select(*by, "_hash", "_tie", "_bucket")
+    near = slim.join(edge, [*same, F.col("_bucket") == F.col("_edge")])
+    place = F.row_number().over(W.partitionBy("_flag", *by).orderBy("_hash", "_tie"))
+    row = F.struct(F.col("_hash").alias("h"), F.col("_tie").alias("t"))
     last = near.withColumn("_place", place).filter(
         F.col("_place") == F.col("_cut") - before
     )
@@ -132,7 +150,7 @@ def _with_rank_flags(
         limit = limits.select(F.struct(*cuts)).scalar()
         limited = hashed.withColumn("_limit", limit).select("*", "_limit.*").drop("_limit")
     flags = {f: F.coalesce(row <= F.col(f), F.lit(False)) for f in cuts}
-    return limited.withColumns(flags).drop("_hash", "_bucket")
+    return limited.withColumns(flags).drop("_hash", "_tie", "_bucket")
 
 
 def cap_per_group(
@@ -148,11 +166,9 @@ def cap_per_group(
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 13) -> DataFrame:
     """Exactly `n` rows (all if there are fewer) without replacement.
 
-    A small sample is a top-k, where each task keeps `n` rows; a large one goes
-    by the hash of its last row, so that no task or driver has to hold it.
+    Rows are taken up to the hash of the last one, whatever `n` is, so that no
+    task or driver has to hold the sample.
     """
-    if n <= TOP_K_ROWS:
-        return df.orderBy(hash_hex(key, seed), F.col(key)).limit(n)
     cut = F.least(F.col("_rows"), F.lit(n))
     flagged = _with_rank_flags(df, (), key, seed, {"_kept": cut})
     return flagged.filter("_kept").drop("_kept")

@@ -63,24 +63,29 @@ def encode(
     out: str = "input_ids",
     unknown_id: int = SPECIALS.index(UNKNOWN),
 ) -> DataFrame:
-    """`(key, out)`: word ids of the first `max_len` words; key must be unique.
+    """`(key, out)`: word ids of the first `max_len` words of each row.
 
-    The cut word lists are distributed by key before they are taken apart.
+    The cut word lists are distributed by row before they are taken apart.
     Taking apart, looking up and putting together then happen in place, so a
     list moves once and its words never do one by one. Words outside the vocabulary get
     `unknown_id`; a text without words gets an empty array.
     """
     cut = F.slice(word_tokens(F.col(col)), 1, max_len)
-    rows = df.select(key, cut.alias("_words")).repartition(key)
-    words = rows.select(key, F.posexplode_outer("_words").alias("_pos", "token"))
+    rows = _numbered(df.select(key, cut.alias("_words")))
+    words = rows.select(key, "_row", F.posexplode_outer("_words").alias("_pos", "token"))
     ids = vocab.select("id", "token")
     found = words.join(F.broadcast(ids), "token", "left")
     entry = F.struct("_pos", F.coalesce(F.col("id"), F.lit(unknown_id)).alias("id"))
     placed = F.when(F.col("_pos").isNotNull(), entry)
-    collected = found.groupBy(key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
+    collected = found.groupBy("_row", key).agg(F.sort_array(F.collect_list(placed)).alias("_ids"))
     return collected.select(key, F.transform("_ids", lambda e: e["id"]).alias(out))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with a number for each row, distributed by it; keys may repeat."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).repartition("_row")
+
+
 def pad(
     df: DataFrame, max_len: int, pad_id: int = 0, ids: str = "input_ids"
 ) -> DataFrame:
@@ -123,12 +128,12 @@ def decode(
             ),
         ),
     )
-    rows = df.select(key, valid.alias("_ids")).repartition(key)
-    places = rows.select(key, F.posexplode_outer("_ids").alias("_pos", "id"))
+    rows = _numbered(df.select(key, valid.alias("_ids")))
+    places = rows.select(key, "_row", F.posexplode_outer("_ids").alias("_pos", "id"))
     words = vocab.select("id", "token").filter(~F.col("token").isin(list(specials)))
     found = places.join(F.broadcast(words), "id", "left")
     entry = F.when(F.col("token").isNotNull(), F.struct("_pos", "token"))
-    collected = found.groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_words"))
+    collected = found.groupBy("_row", key).agg(F.sort_array(F.collect_list(entry)).alias("_words"))
     text = F.array_join(F.transform("_words", lambda e: e["token"]), " ")
     return collected.select(key, text.alias(out))
 

@@ -23,6 +23,7 @@ from qaprep.operators.scoring import (
     sum_bleu_counts,
     with_bleu_counts,
 )
+from qaprep.functions.bind import compute_once
 from qaprep.sources.readers import require_columns
 
 ROUGE_COLUMNS = ("rouge1", "rouge2", "rougeL")
@@ -42,9 +43,8 @@ def with_rouge(df: DataFrame, stem: bool = True) -> DataFrame:
             {"_pred": stem_tokens(F.col("_pred")), "_ref": stem_tokens(F.col("_ref"))}
         )
     pred, ref = F.col("_pred"), F.col("_ref")
-    scored = tokens.withColumns(
-        {"_ns": rouge_ns(pred, ref, (1, 2)), "rougeL": rouge_l(pred, ref)}
-    )
+    # Filters on the scores must not run the stages below twice.
+    scored = compute_once(tokens, {"_ns": rouge_ns(pred, ref, (1, 2)), "rougeL": rouge_l(pred, ref)})
     ns = [F.get("_ns", F.lit(i)) for i in range(2)]
     return scored.withColumns({"rouge1": ns[0], "rouge2": ns[1]}).drop("_pred", "_ref", "_ns")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,8 +33,11 @@ def ship_package(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared checkpoint folder.
 
-    Only a session without that setting, as in a test, gets a local folder.
+    Without that setting only a session on one machine, as in a test, gets a
+    folder: executors elsewhere would not find what others wrote.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     base = shared or tempfile.mkdtemp(prefix="run-")
     return f"{base.rstrip('/')}/qaprep/{name}-{uuid.uuid4().hex}"

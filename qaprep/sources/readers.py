@@ -15,14 +15,24 @@ METRICS_FILE = "eval_metrics.json"
 
 
 def require_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
-    """Return the column names, or raise an error that lists the missing ones."""
+    """The column names as a list; all of them must be columns of df."""
     wanted = list(columns)
-    missing = [c for c in wanted if c not in df.columns]
-    if missing:
-        raise ValueError(f"Missing columns: {missing}")
+    absent = sorted(set(wanted).difference(df.columns))
+    if absent:
+        raise ValueError(f"the table has no column {', '.join(absent)}; it has {', '.join(df.columns)}")
     return wanted
 
 
+def in_path(df: DataFrame, part: str) -> DataFrame:
+    """Rows of files whose whole path, folders included, contains `part`.
+
+    Letter case does not count and no character is special. Spark skips the
+    other files before reading them.
+    """
+    path = F.lower(F.url_decode(F.col("_metadata.file_path")))
+    return df.where(F.contains(path, F.lit(part.lower())))
+
+
 def name_glob(part: str = "", suffix: str = "") -> str:
     """File-name pattern for a name part and a suffix, in any letter case."""
 
@@ -38,14 +48,15 @@ def read_table_csv(
     schema: StructType | str,
     required: Iterable[str] = (),
     path_filter: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header row; quoted fields may hold quotes and line breaks.
 
-    Line breaks inside fields mean that one file is read by one task, so large
-    inputs should be many files. The schema names the columns to expect; the
+    Line breaks inside fields mean that one file is read by one task. Without
+    them give `multi_line=False`, and large files are split. The schema names the columns to expect; the
     header decides which of them are there.
     """
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
     if path_filter:
         options |= {"pathGlobFilter": path_filter, "recursiveFileLookup": True}
     header = spark.read.options(**options).csv(path).columns

@@ -6,17 +6,17 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+
 from qaprep.functions.stem import porter_stem
+from qaprep.plans.oracles import LABEL, sentences
+from qaprep.plans.oracles import clean as cleaned
 
 
 def clean(text):
     return re.sub(r"\s+", " ", text or "").strip()
 
 
-def sentences(text):
-    return re.split(r"(?<=[.!?])\s+", clean(text)) if clean(text) else []
-
-
 def tokens(text, stem=False):
     found = re.findall("[a-z0-9]+", (text or "").lower())
     return [porter_stem(t) if len(t) > 3 else t for t in found] if stem else found
@@ -65,33 +65,31 @@ def bleu(pairs, floor):
     return math.exp(penalty + sum(math.log(m / t) for m, t in zip(matches, totals)) / 4)
 
 
-def label(text):
-    text = clean(text).strip('"')
-    for curly, straight in (("“", '"'), ("”", '"'), ("’", "'")):
-        text = text.replace(curly, straight)
-    text = text.strip()
-    return text[:-2] if text.endswith(" .") else text
-
-
 def overlap(label_text, text):
     wanted = set(re.findall(r"\w+", label_text.lower()))
     return len(wanted & set(re.findall(r"\w+", text.lower()))) / len(wanted) if wanted else 0.0
 
 
 def oracle(parts, reference, k=3, minimum=5, stem=True):
-    scored = [
-        (i, s, rouge_l(tokens(s, stem), tokens(reference, stem)))
-        for i, s in enumerate(parts)
-        if len(s.split()) >= minimum
-    ]
-    best = sorted(scored, key=lambda e: -e[2])[:k]
-    text = " ".join(s for _, s, _ in sorted(best))
-    return text, max((e[2] for e in best), default=0.0)
+    """The k best sentences in text order, and the best score; ties to the first."""
+    wanted = tokens(reference, stem)
+    ranks = sorted(
+        (-rouge_l(tokens(part, stem), wanted), place)
+        for place, part in enumerate(parts)
+        if part.count(" ") >= minimum - 1
+    )
+    if not ranks:
+        return "", 0.0
+    chosen = {place for _, place in ranks[:k]}
+    return " ".join(part for place, part in enumerate(parts) if place in chosen), -ranks[0][0]
 
 
 def curate(row, scope="trimmed", stem=True):
     """(kept by the cheap rules, oracle text, oracle score) of one raw row."""
-    target, parts = label(row["label"]), sentences(row["abstract"])
+    target, parts = duckdb.execute(
+        f"SELECT {LABEL}, {sentences(cleaned('abstract'))} FROM (SELECT ? AS label, ? AS abstract)",
+        [row["label"], row["abstract"]],
+    ).fetchone()
     parts = parts[:8] if scope == "trimmed" else parts
     cheap = 5 <= len(target.split()) <= 40 and overlap(target, " ".join(parts)) >= 0.45
     return cheap, *oracle(parts, f"{clean(row['query'])} {target}", stem=stem)

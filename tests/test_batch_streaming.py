@@ -3,13 +3,14 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from qaprep.operators import batch
 from qaprep.plans.curate import CLEAN, curate
 from qaprep.plans.tables import raw_qa
 from qaprep.sources.writers import write_csv
 from qaprep.streaming.curation import RAW_SCHEMA, curate_stream
+from tests.conftest import plan_text
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +81,23 @@ def test_stream_gives_the_batch_result_once(spark, tmp_path):
     expected = curate(spark.read.schema(RAW_SCHEMA).options(**options).csv(source), CLEAN)
     assert sorted(map(str, back.collect())) == sorted(map(str, expected.collect()))
     assert back.count() > 0
+
+
+def test_stream_finds_columns_by_name(spark, tmp_path):
+    raw = raw_qa(spark, SF).select("label", "abstract", F.lit("x").alias("extra"), "title", "query")
+    source, target, checkpoint = [str(tmp_path / n) for n in ("in", "out", "check")]
+    write_csv(raw, source)
+    curate_stream(spark, source, target, checkpoint).awaitTermination()
+    expected = curate(raw.select("query", "title", "abstract", "label"), CLEAN)
+    back = spark.read.parquet(target)
+    assert back.count() == expected.count() > 0
+
+
+def test_a_filter_does_not_run_the_model_twice(spark):
+    def make():
+        return lambda texts: np.array([float(len(t)) for t in texts])
+
+    df = spark.createDataFrame([("a", "b")], "predicted string, reference string")
+    scored = batch.batch_score(df, ["predicted"], make, DoubleType()).where("prediction > 0")
+    assert plan_text(scored).count("ArrowEvalPython [") == 1
+    assert scored.count() == 1

@@ -180,3 +180,30 @@ def test_mean_loss_is_over_batches(spark):
         [("r", 1, 2.0), ("r", 1, 4.0), ("r", 2, 1.0)], "run string, epoch int, loss double"
     )
     assert sorted(tuple(r) for r in runs.mean_loss(df).collect()) == [("r", 1, 3.0), ("r", 2, 1.0)]
+
+
+def test_nan_and_null_never_improve(spark):
+    nan = float("nan")
+    data = [("r", i, v) for i, v in enumerate([None, 1.0, nan, 3.0, None, 4.0], 1)]
+    df = spark.createDataFrame(data, "run string, step long, metric double")
+    for greater, wanted in ((True, {2, 4, 6}), (False, {2})):
+        best = runs.running_best(df, greater=greater).where("improved").collect()
+        assert {r["step"] for r in best} == wanted
+        stop = runs.early_stop(df, 9, greater=greater).first()
+        assert (stop["best_metric"], stop["best_step"]) == ((4.0, 6) if greater else (1.0, 2))
+        mark = runs.best_checkpoint(df, greater=greater).first()
+        assert mark["best_step"] == (6 if greater else 2)
+
+
+def test_points_without_latency_are_left_out(spark):
+    nan = float("nan")
+    data = [(None, 0.9), (nan, 0.95), (1.0, 0.5), (2.0, 0.7), (3.0, nan), (4.0, None), (5.0, 0.6)]
+    df = spark.createDataFrame(data, "latency double, rougeL double")
+    assert sorted(tuple(r) for r in runs.pareto(df).collect()) == [(1.0, 0.5), (2.0, 0.7)]
+
+
+def test_a_metric_may_be_named_null(spark):
+    data = [("a", "null", 2.0), ("b", "null", 4.0), ("b", None, 9.0), ("c", None, 1.0)]
+    df = spark.createDataFrame(data, "run string, metric string, value double")
+    rows = {r["run"]: r["null_ratio"] for r in runs.compare_runs(df, baseline="a").collect()}
+    assert rows == {"a": 1.0, "b": 2.0, "c": None}

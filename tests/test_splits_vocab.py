@@ -72,9 +72,7 @@ def test_split_arguments_are_checked(rows):
 
 
 @pytest.mark.parametrize("n", [0, 3, ROWS + 5])
-@pytest.mark.parametrize("top_k", [splits.TOP_K_ROWS, -1])
-def test_sample(rows, monkeypatch, n, top_k):
-    monkeypatch.setattr(splits, "TOP_K_ROWS", top_k)
+def test_sample(rows, n):
     got = {r["row_id"] for r in splits.sample_n(rows, n, "row_id", 13).collect()}
     assert got == set(_order(range(ROWS), 13)[:n])
 
@@ -151,9 +149,46 @@ def test_encode_moves_rows_once(texts, spark):
     words = vocab.build_vocab(texts, "text", 6).cache()
     words.count()
     plan = plan_text(vocab.encode(texts, "text", words, 4))
-    assert plan.count("Exchange hashpartitioning(row_id") == 1
+    assert plan.count("Exchange hashpartitioning(_row") == 1
 
 
 def test_argmax_takes_the_first_maximum(spark):
     df = spark.createDataFrame([([0.5, 2.0, 2.0],)], "v array<float>")
     assert df.select(vocab.argmax(F.col("v"))).first()[0] == 1
+
+
+@pytest.fixture(scope="module")
+def odd_keys(spark):
+    """1,000 rows: many without key, many with one key, some equal as a whole."""
+    data = [(None, i, "a") for i in range(600)] + [("k", i, "b") for i in range(300)]
+    data += [("same", 0, "a")] * 100
+    return spark.createDataFrame(data, "key string, value int, team string").repartition(3)
+
+
+def test_exact_sizes_with_null_and_repeated_keys(odd_keys):
+    sizes = splits.split_dataset(odd_keys, "key", mode="exact").groupBy("split").count()
+    assert {r["split"]: r["count"] for r in sizes.collect()} == {"train": 800, "validation": 100, "test": 100}
+    floor = splits.split_dataset(odd_keys, "key", mode="floor", train=0.333, validation=0.333, test=0.334)
+    sizes = {r["split"]: r["count"] for r in floor.groupBy("split").count().collect()}
+    assert sizes == {"train": 333, "validation": 333, "test": 334}
+    hashed = splits.split_dataset(odd_keys.where("key is null"), "key").groupBy("split").count()
+    assert {r["split"] for r in hashed.collect()} == set(splits.SPLITS)
+
+
+@pytest.mark.parametrize("n", [1, 650, 999, 1000, 1001])
+def test_sample_sizes_with_null_and_repeated_keys(odd_keys, n):
+    assert splits.sample_n(odd_keys, n, "key").count() == min(n, 1000)
+
+
+def test_cap_with_null_and_repeated_keys(odd_keys):
+    counts = splits.cap_per_group(odd_keys, "team", 250, "key").groupBy("team").count()
+    assert {r["team"]: r["count"] for r in counts.collect()} == {"a": 250, "b": 250}
+
+
+def test_rows_of_one_key_are_encoded_apart(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c d")], "row_id int, text string")
+    words = vocab.build_vocab(df, "text", 10).cache()
+    encoded = vocab.encode(df, "text", words, 4)
+    assert sorted(len(r["input_ids"]) for r in encoded.collect()) == [2, 2]
+    back = vocab.decode(encoded, words, 10, ids="input_ids").collect()
+    assert sorted(r["text"] for r in back) == ["a b", "c d"]

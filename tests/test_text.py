@@ -31,30 +31,40 @@ def test_punctuation_goes_and_words_stay(one):
 
 
 @pytest.mark.parametrize(
-    "label",
+    ("label", "wanted"),
     [
-        '"quoted" .',
-        '""twice""',
-        "“curly”",
-        '"“both”"',
-        "it’s ‘so’",
-        'a "b" c .',
-        '" . "',
-        '"',
-        "end  .",
+        ('"quoted" .', 'quoted"'),
+        ('""twice""', "twice"),
+        ("“curly”", '"curly"'),
+        ('"“both”"', '"both"'),
+        ("it’s ‘so’", "it's ‘so'"),
+        ('a "b" c .', 'a "b" c'),
+        ('" . "', "."),
+        ('"', ""),
+        ("end  .", "end"),
     ],
 )
-def test_normalize_label(one, label):
-    assert one(text.normalize_label, label) == brute.label(label)
+def test_normalize_label(one, label, wanted):
+    assert one(text.normalize_label, label) == wanted
 
 
 def test_outer_curly_quotes_survive_as_straight_ones(one):
     assert one(text.normalize_label, "“curly”") == '"curly"'
 
 
-@pytest.mark.parametrize("t", ["", "One.", "One. Two! Three? Four", "a.b. c", "No end", ". . ."])
-def test_split_sentences(one, t):
-    assert one(lambda c: text.split_sentences(text.clean_text(c)), t) == brute.sentences(t)
+@pytest.mark.parametrize(
+    ("t", "wanted"),
+    [
+        ("", []),
+        ("One.", ["One."]),
+        ("One. Two! Three? Four", ["One.", "Two!", "Three?", "Four"]),
+        ("a.b. c", ["a.b.", "c"]),
+        ("No end", ["No end"]),
+        (". . .", [".", ".", "."]),
+    ],
+)
+def test_split_sentences(one, t, wanted):
+    assert one(lambda c: text.split_sentences(text.clean_text(c)), t) == wanted
 
 
 def test_trim_and_bullets(one):
