@@ -407,6 +407,31 @@ PADDED = ENCODED + """, padded AS (
   FROM encoded)"""
 
 
+def _side(name: str, column: str, size: int) -> str:
+    return f"""{name} AS (
+  SELECT p.row_id, list(coalesce(v.id, 1) ORDER BY p.pos) AS ids
+  FROM (SELECT row_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos
+        FROM (SELECT row_id, {words(column)}[1:{size}] AS toks FROM pairs)) p
+  LEFT JOIN vocab v ON v.token = p.token GROUP BY p.row_id)"""
+
+
+def _filled(ids: str, size: int, rest: str, value: str) -> str:
+    return joined(
+        f"list_transform(range(1, {size + 1}), "
+        f"lambda i: CASE WHEN i <= coalesce(len({ids}), 0) THEN {value} ELSE {rest} END)"
+    )
+
+
+ENCODED_PAIRS = f"""WITH {VOCAB}, pairs AS ({curated("trimmed", KEPT, "oracle_text")}),
+{_side("inputs", "input_text", 128)},
+{_side("targets", "target_text", 64)}
+SELECT pairs.row_id, {_filled("a.ids", 128, "0", "a.ids[i]")} AS input_ids,
+       {_filled("a.ids", 128, "0", "1")} AS attention_mask,
+       {_filled("b.ids", 64, "-100", "b.ids[i]")} AS labels
+FROM pairs LEFT JOIN inputs a ON a.row_id = pairs.row_id
+LEFT JOIN targets b ON b.row_id = pairs.row_id"""
+
+
 def documents(expression: str, name: str) -> str:
     return f"SELECT doc_id, {expression} AS {name} FROM documents"
 
@@ -549,11 +574,15 @@ WHERE place <= 100""",
     "pad": f"""WITH {PADDED} SELECT doc_id, {joined("input_ids")} AS ids,
        {joined("mask")} AS mask FROM padded""",
     "mask_labels": f"WITH {PADDED} SELECT doc_id, {joined('labels')} AS labels FROM padded",
-    "decode": f"""WITH {PADDED}
+    "encode_pairs": ENCODED_PAIRS,
+    "decode": f"""WITH {VOCAB}, words AS (
+  SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos
+  FROM (SELECT doc_id, {words("text")} AS toks FROM documents))
 SELECT p.doc_id, coalesce(d.text, '') AS text
-FROM padded p LEFT JOIN (
-  SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text
-  FROM found WHERE known > 2 AND pos <= 64 GROUP BY doc_id) d ON d.doc_id = p.doc_id""",
+FROM documents p LEFT JOIN (
+  SELECT w.doc_id, string_agg(w.token, ' ' ORDER BY w.pos) AS text
+  FROM words w JOIN vocab v ON v.token = w.token WHERE v.id > 2
+  GROUP BY w.doc_id) d ON d.doc_id = p.doc_id""",
     "argmax": """SELECT vec_id,
        (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best FROM embeddings""",
     "validate_encoded": f"""WITH {PADDED} SELECT count(*) AS n_rows,

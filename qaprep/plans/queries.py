@@ -295,10 +295,17 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.build_vocab(documents, "text", VOCABULARY)
 
 
+def _written_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary, computed once."""
+    path = scratch_path(spark, "vocabulary")
+    writers.write_parquet(_vocabulary(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = tables.table(spark, sf_dir, "documents")
-    words = _vocabulary(spark, sf_dir)
-    return vocab.encode(documents, "text", words, ENCODED_WORDS, "doc_id")
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = _written_vocabulary(spark, sf_dir)
+    return vocab.encode(documents, "text", words, ENCODED_WORDS)
 
 
 def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,9 +329,20 @@ def mask_labels(spark, sf_dir):
 
 
 def decode(spark, sf_dir):
-    words = _vocabulary(spark, sf_dir)
-    rows = _padded(spark, sf_dir).select("doc_id", "labels")
-    return vocab.decode(rows, words, VOCABULARY, "doc_id", "labels")
+    """Whole documents to ids and back."""
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = _written_vocabulary(spark, sf_dir)
+    ids = vocab.encode(documents, "text", words, None)
+    return vocab.decode(ids, words, VOCABULARY).select("doc_id", "text")
+
+
+def encode_pairs(spark, sf_dir):
+    rows = tables.curated_qa(spark, sf_dir).select("row_id", "input_text", "target_text")
+    words = _written_vocabulary(spark, sf_dir)
+    pairs = vocab.encode_pairs(rows, words, ENCODED_WORDS, PADDED_WORDS)
+    return pairs.select(
+        "row_id", *[_joined(c).alias(c) for c in ("input_ids", "attention_mask", "labels")]
+    )
 
 
 def argmax(spark, sf_dir):
@@ -643,6 +661,7 @@ QUERIES: dict[str, Query] = {
     "cap_per_group": cap_per_group,
     "build_vocab": _vocabulary,
     "encode": encode,
+    "encode_pairs": encode_pairs,
     "pad": pad,
     "mask_labels": mask_labels,
     "decode": decode,

@@ -145,11 +145,44 @@ def test_decode_clips_ids(spark, texts):
     assert vocab.decode(df, words, 6).first()["text"] == "c a"
 
 
-def test_encode_moves_rows_once(texts, spark):
+def test_encode_moves_no_row(texts, spark):
     words = vocab.build_vocab(texts, "text", 6).cache()
-    words.count()
-    plan = plan_text(vocab.encode(texts, "text", words, 4))
-    assert plan.count("Exchange hashpartitioning(_row") == 1
+    plan = plan_text(vocab.decode(vocab.encode(texts, "text", words, 4), words, 6))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_large_vocabulary_is_joined(texts):
+    words = vocab.build_vocab(texts, "text", 6).cache()
+    small = vocab.decode(vocab.encode(texts, "text", words, None), words, 6)
+    large = vocab.encode(texts, "text", words, None, task_bytes=0)
+    large = vocab.decode(large, words, 6, task_bytes=0).select(small.columns)
+    assert small.count() == 5
+    assert sorted(small.collect()) == sorted(large.collect())
+
+
+def test_vocabulary_cuts_ties_by_the_alphabet(spark):
+    counts = {f"w{i:03d}": 1 + i % 7 for i in range(200)} | {"the": 500, "of": 70, "und": 64, "le": 63}
+    texts = [(" ".join([w] * n),) for w, n in counts.items()]
+    df = spark.createDataFrame(texts, "text string")
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    for size in (1, 2, 5, 33, 100, 204, 300):
+        got = vocab.build_vocab(df, "text", size, ()).orderBy("id").collect()
+        assert [(r["id"], r["token"], r["n"]) for r in got] == [
+            (i, w, counts[w]) for i, w in enumerate(order[:size])
+        ]
+    assert [r["token"] for r in vocab.build_vocab(df, "text", 3).orderBy("id").collect()] == list(vocab.SPECIALS)
+
+
+def test_pairs_take_labels_from_the_target(spark):
+    rows = [(1, "a b c", "b"), (2, None, ""), (2, "c x", "a a a")]
+    df = spark.createDataFrame(rows, "row_id int, input_text string, target_text string")
+    words = vocab.build_vocab(df, "input_text", 6).cache()
+    got = vocab.encode_pairs(df, words, 4, 2).collect()
+    assert sorted((r["input_ids"], r["attention_mask"], r["labels"]) for r in got) == [
+        ([0, 0, 0, 0], [0, 0, 0, 0], [-100, -100]),
+        ([3, 1, 0, 0], [1, 1, 0, 0], [4, 4]),
+        ([4, 5, 3, 0], [1, 1, 1, 0], [5, -100]),
+    ]
 
 
 def test_argmax_takes_the_first_maximum(spark):
