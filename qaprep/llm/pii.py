@@ -23,7 +23,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 #: Words on each side of an entity that make up its context.
 CONTEXT = 6
@@ -143,7 +143,9 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, text: str) -> DataF
     The share is PMI(entity; term) / information(entity), from the numbers of
     documents that hold the entity, the term, and both near each other. How
     many documents with entities hold a term is a lower bound of the second
-    number. It rules out common terms before all documents are counted.
+    number. It rules out common terms before all documents are counted. An
+    entity that all documents hold has no information that a term could give
+    away.
     """
     near = _contexts(found)
     holds = found.select(F.explode(F.array_distinct(F.transform(_all_entities(), lambda e: e["entity"]))).alias("entity"))
@@ -153,7 +155,7 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, text: str) -> DataF
     def share(n_term: str) -> Column:
         together = F.least("both", "n_entity", n_term)
         mutual = F.log2(together * total / (F.col("n_entity") * F.col(n_term)))
-        return mutual / F.log2(total / F.col("n_entity"))
+        return F.try_divide(mutual, F.log2(total / F.col("n_entity")))
 
     def words(rows: DataFrame) -> DataFrame:
         parts = F.split(F.lower(F.col(text)), f"(?U)[^{WORD[1:-1]}]+")

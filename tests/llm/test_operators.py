@@ -379,7 +379,7 @@ def plain_spans(text: str) -> list:
 
 def test_entities_are_those_of_the_patterns(spark):
     rng = random.Random(9)
-    pieces = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "001.02.3.255", "4539 1488 0343 6467", "4539148803436467",
+    pieces = ["a.b@c.de", "@", "x@y", "1.2.3.4", "256.1.1.1", "001.02.3.255", "10.0.0.1", "0.00.000.0", "0256.1.1.1", "4539 1488 0343 6467", "4539148803436467",
               "+1 (555) 123-4567", "+12", " ", "é", "🙂", "-", ".", "12", "word", "_%+", "a@b.c.d_e@f.gh", "\n"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(600)]
     texts += ["a" * 40_000, "1" * 40_000, "a." * 9000 + "@b" + ".c" * 9000, "1 " * 20_000, "+" * 5000 + "1-" * 5000]
@@ -408,6 +408,12 @@ def test_terms_that_give_entities_away(spark, odd, none):
     assert pii.sanitise(none).count() == 0
 
 
+def test_an_entity_of_all_documents_discloses_nothing(spark):
+    rows = [(i, f"{prose(i, 9)} zyxwvut writes from boss@corp.example {prose(50 + i, 9)}") for i in range(5)]
+    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5 and all(len(r.email) == 1 and r.remove == r.generalise == [] for r in found)
+
+
 def test_pii_has_no_python_node(spark, odd):
     plan = pii.sanitise(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
