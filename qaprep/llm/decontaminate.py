@@ -12,6 +12,7 @@ tasks, in blocks of bounded size, one scan for each block.
 
 from __future__ import annotations
 
+import itertools
 import math
 from zlib import crc32
 
@@ -36,6 +37,10 @@ SHORTEST = 5
 #: and mask.
 BLOCK_WORDS = 150_000
 
+#: Hits that are spread out at once; windows of one repeated word hit as often as
+#: the product of their numbers, but lie on few diagonals.
+HITS = 1 << 20
+
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SPAN, np.uint64) | np.uint64(1)
 _SHIFT = np.uint64(42)
@@ -91,10 +96,14 @@ class Index:
             lo = np.searchsorted(keys, h[at], "left")
             n = np.searchsorted(keys, h[at], "right") - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-            if len(at):
-                ends = np.cumsum(n)
-                entry = np.arange(ends[-1]) + np.repeat(lo - ends + n, n)
-                found.append(np.stack([items[entry], np.repeat(at, n) - places[entry]], 1))
+            sums = np.cumsum(n)
+            cuts = np.unique(np.searchsorted(sums, np.arange(0, n.sum(), HITS), "right"))
+            for start, stop in itertools.pairwise([*cuts.tolist(), len(n)]):
+                a, l, m = at[start:stop], lo[start:stop], n[start:stop]
+                ends = np.cumsum(m)
+                entry = np.arange(ends[-1]) + np.repeat(l - ends + m, m)
+                pairs = np.stack([items[entry], np.repeat(a, m) - places[entry]], 1)
+                found.append(np.unique(pairs, axis=0))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def verify(self, words: np.ndarray, item: int, shift: int) -> tuple[int, int, int] | None:

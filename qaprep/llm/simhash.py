@@ -7,8 +7,9 @@ Hamming ball around its own segment value, fetches what the tables hold there,
 and verifies the distance over all bits.
 
 Equal fingerprints are one entry, so that copies cost nothing. A link between
-two entries is needed once: of two segment values that differ in one bit, only
-the one with the bit unset looks for the other. What is fetched together is
+two entries is needed once: of two segment values that differ, only the smaller
+one looks for the other. Long segments make small buckets and large balls; how
+long they are follows from the number of fingerprints and what both would cost. What is fetched together is
 linked inside the task, and only a spanning forest leaves it, so the output
 grows with the entries and not with the pairs.
 """
@@ -16,6 +17,7 @@ grows with the entries and not with the pairs.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ BITS = 64
 #: Entries of one table bucket that one task compares with each other. Larger
 #: buckets are cut into blocks; each pair of blocks is a unit of its own.
 BLOCK = 2_048
+#: Comparisons that cost as much as moving one table entry to its bucket.
+COMPARED = 500
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 18
 
@@ -89,14 +93,30 @@ def with_fingerprint(df: DataFrame, text: str = "text", shingle: int = 4) -> Dat
     return append_columns(df, text, [T.StructField("simhash", T.LongType())], make)
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of each segment: the fewest for balls of radius 1."""
-    count = max(2, distance // 2 + 1)
+def segments(distance: int, radius: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each segment: the fewest for balls of `radius`."""
+    count = max(2, distance // (radius + 1) + 1)
     edges = [BITS * i // count for i in range(count + 1)]
     return [(lo, hi - lo) for lo, hi in itertools.pairwise(edges)]
 
 
-def _bucket_rows(prints: DataFrame, distance: int) -> DataFrame:
+def ball_radius(distance: int, entries: int) -> int:
+    """The radius, 1 or 2, with which finding all links costs less.
+
+    Either finds all of them. With radius 1 each bucket grows sooner, with
+    radius 2 each entry asks for hundreds of buckets; for the distance 4 the
+    second is cheaper from about 10^10 fingerprints.
+    """
+
+    def cost(radius: int) -> float:
+        parts = segments(distance, radius)
+        balls = [sum(math.comb(width, k) for k in range(radius + 1)) for _, width in parts]
+        return sum(b * (1 + entries / 2**width / COMPARED) for b, (_, width) in zip(balls, parts))
+
+    return min((1, 2), key=cost)
+
+
+def _bucket_rows(prints: DataFrame, distance: int, radius: int) -> DataFrame:
     """(bucket, stored, simhash): table entries, and queries for other buckets."""
     def of_segment(number: int, low: int, width: int):
         value = F.shiftrightunsigned("simhash", low).bitwiseAND(F.lit((1 << width) - 1))
@@ -105,11 +125,16 @@ def _bucket_rows(prints: DataFrame, distance: int) -> DataFrame:
         def row(bits, stored: bool):
             return F.struct(bits.bitwiseOR(tag).alias("bucket"), F.lit(stored).alias("stored"))
 
-        flips = F.array(*[F.lit(1 << i).cast("long") for i in range(width)])
-        unset = F.filter(flips, lambda bit: value.bitwiseAND(bit) == 0)
-        return [F.array(row(value, True)), F.transform(unset, lambda bit: row(value.bitwiseOR(bit), False))]
+        flips = [
+            sum(1 << bit for bit in bits)
+            for k in range(1, radius + 1)
+            for bits in itertools.combinations(range(width), k)
+        ]
+        masks = F.lit(flips).cast("array<long>")
+        larger = F.filter(masks, lambda mask: value.bitwiseXOR(mask) > value)
+        return [F.array(row(value, True)), F.transform(larger, lambda mask: row(value.bitwiseXOR(mask), False))]
 
-    rows = [x for n, (low, width) in enumerate(segments(distance)) for x in of_segment(n, low, width)]
+    rows = [x for n, (low, width) in enumerate(segments(distance, radius)) for x in of_segment(n, low, width)]
     return prints.select("simhash", F.inline(F.concat(*rows)))
 
 
@@ -159,14 +184,14 @@ def _small_runs(keys, entries, stored, starts, sizes, distance):
 FEW = 24
 
 
-def links(prints: DataFrame, distance: int = 4) -> DataFrame:
+def links(prints: DataFrame, distance: int = 4, radius: int = 1) -> DataFrame:
     """(a, b): links that connect the fingerprints within `distance` of each other.
 
     Not every pair is returned: within what one task compares, a chain of
     verified pairs stands for all pairs it connects. Connected components are
     those of all pairs.
     """
-    rows = _bucket_rows(prints, distance)
+    rows = _bucket_rows(prints, distance, radius)
     sizes = rows.groupBy("bucket").agg(
         F.count("*").alias("n"), F.max("stored").alias("used")
     )
@@ -253,7 +278,8 @@ def near_duplicates(
     )
     rows = write_table(rows.select("id", "simhash"), "fingerprints")
     prints = rows.groupBy("simhash").agg(F.min("id").alias("least"))
-    groups = components(links(prints.select("simhash"), distance))
+    radius = ball_radius(distance, rows.count())
+    groups = components(links(prints.select("simhash"), distance, radius))
     named = prints.join(groups, prints.simhash == groups.node, "left").select(
         "simhash", "least", F.coalesce("component", "simhash").alias("component")
     )

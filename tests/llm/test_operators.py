@@ -141,8 +141,18 @@ def test_simhash_on_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("distance", "block"), [(4, 2048), (4, 16), (3, 2048), (1, 2048)])
-def test_links_give_the_components_of_all_pairs(spark, monkeypatch, distance, block):
+def test_the_radius_follows_the_number_of_fingerprints():
+    assert [simhash.ball_radius(4, 10**k) for k in (0, 6, 9, 12)] == [1, 1, 1, 2]
+    for distance in range(1, 12):
+        for radius in (1, 2):
+            parts = simhash.segments(distance, radius)
+            assert distance // len(parts) <= radius and sum(w for _, w in parts) == 64
+
+
+@pytest.mark.parametrize(
+    ("distance", "block", "radius"), [(4, 2048, 1), (4, 16, 1), (3, 2048, 1), (1, 2048, 1), (4, 2048, 2), (5, 16, 2)]
+)
+def test_links_give_the_components_of_all_pairs(spark, monkeypatch, distance, block, radius):
     monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(distance)
     numbers = {0, (1 << 64) - 1}
@@ -154,7 +164,7 @@ def test_links_give_the_components_of_all_pairs(spark, monkeypatch, distance, bl
     numbers = sorted(numbers)
     signed = [n - (1 << 64) if n >> 63 else n for n in numbers]
     prints = spark.createDataFrame([(n,) for n in signed], "simhash long")
-    found = {r.node: r.component for r in common.components(simhash.links(prints, distance)).collect()}
+    found = {r.node: r.component for r in common.components(simhash.links(prints, distance, radius)).collect()}
     groups: dict[int, set] = {}
     for n, r in zip(signed, plain_components(numbers, distance)):
         groups.setdefault(r, set()).add(n)
@@ -299,6 +309,15 @@ def test_leaks_tolerate_substitutions(spark, odd, none, benchmark):
     assert decontaminate.with_leaks(none, benchmark.limit(0)).count() == 0
 
 
+def test_repeated_words_hit_in_bounded_pieces(spark, monkeypatch):
+    words = decontaminate.tokens(b"again " * 300)
+    index = decontaminate.Index([decontaminate.tokens(b"again " * 40), decontaminate.tokens(prose(7, 30).encode())])
+    at_once = index.hits(words)
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert index.hits(words).tolist() == at_once.tolist()
+    assert {tuple(x) for x in at_once.tolist()} == {(0, s) for s in range(-31, 292)}
+
+
 def test_blocks_give_the_same(spark, monkeypatch, benchmark):
     df = spark.createDataFrame([(0, prose(7, 30)), (1, prose(8, 6))], "doc_id long, text string")
     once = decontaminate.with_leaks(df, benchmark).collect()
