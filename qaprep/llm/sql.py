@@ -1,12 +1,13 @@
 """SQL counterparts of the queries that SQL can express.
 
 The learned operators, 64-bit shingle hashes and tokens have none; tests hold
-them against plain Python, the tokenizers library and held-out labels.
+them against plain Python, the tokenizers library and held-out labels. Sketches
+are counts by bucket, so the quality rules have one.
 """
 
 from __future__ import annotations
 
-from qaprep.llm import warc
+from qaprep.llm import rules, warc
 
 
 def _quoted(text: str) -> str:
@@ -63,4 +64,87 @@ SELECT page_id, warc_type, {_urn("warc_type", "refers_to")} AS record_id, refers
 FROM derived"""
 
 
-ORACLES: dict[str, str] = {"op10_warc": _warc()}
+def _rules() -> str:
+    word = r"[^\x20\x09-\x0D]"
+    size = lambda sign: f"length(regexp_replace(body, '[^{sign}]', '', 'g'))"
+    parts = {
+        "symbol_rate": ("n_symbols", "word_chars", 1000),
+        "dup_line_rate": ("n_dup_lines", "n_lines", 1000),
+        "repeat_rate": ("n_repeat_words", "n_words", 1000),
+        "mark_rate": ("n_marks", "n_words", 1000),
+        "upper_rate": ("n_upper", "word_chars", 1000),
+        "word_length": ("word_chars", "n_words", 100),
+    }
+    rates = ", ".join(f"floor({f} * {a} / greatest({b}, 1))::BIGINT AS {k}" for k, (a, b, f) in parts.items())
+    rows = " UNION ALL ".join(
+        f"SELECT row, lang, source, base_failed, {i} AS place, '{k}' AS rate, {k} AS value, "
+        f"{rules.RATES[k][0]} AS low_too, {rules.RATES[k][1]} AS least FROM counted"
+        for i, k in enumerate(parts)
+    )
+
+    def fences(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""
+  SELECT {by}rate, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1,
+    min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3
+  FROM (
+    SELECT {by}rate, bucket, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bucket) AS upto,
+      sum(sum(n)) OVER (PARTITION BY {by}rate) AS total
+    FROM sketch GROUP BY {by}rate, bucket
+  ) GROUP BY {by}rate"""
+
+    return f"""
+WITH given AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS body FROM documents
+), parted AS (
+  SELECT *, regexp_extract_all(body, '{word}+') AS words,
+    list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines
+  FROM given
+), windows AS (
+  SELECT row, place, count(*) OVER (PARTITION BY row, text) AS n FROM (
+    SELECT row, unnest(range(1, len(words) - {rules.WINDOW - 2})) AS place,
+      unnest(list_transform(range(1, len(words) - {rules.WINDOW - 2}),
+        lambda i: array_to_string(words[i:i + {rules.WINDOW - 1}], ' '))) AS text
+    FROM parted
+  )
+), repeats AS (
+  SELECT row, count(DISTINCT place + step) AS n_repeat_words
+  FROM windows, range({rules.WINDOW}) AS steps(step) WHERE n > 1 GROUP BY row
+), counts AS (
+  SELECT row, doc_id, lang, source, len(words)::BIGINT AS n_words,
+    length(array_to_string(words, ''))::BIGINT AS word_chars, {size("#*$%&|<>")}::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+    len(lines) AS n_lines, {size("!?")} AS n_marks, {size("A-Z")} AS n_upper
+  FROM parted LEFT JOIN repeats USING (row)
+), counted AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {rates} FROM counts
+), rated AS (
+  SELECT *, CASE WHEN value < 64 THEN value ELSE value - value % (1 << (length(bin(value)) - 6)) END AS bucket
+  FROM ({rows})
+), sketch AS (
+  SELECT lang, source, rate, bucket, count(*) AS n FROM rated WHERE NOT base_failed GROUP BY ALL
+), own AS ({fences("lang, source")}
+), tongue AS ({fences("lang")}
+), whole AS ({fences("")}
+), chosen AS (
+  SELECT own.lang, own.source, own.rate,
+    CASE WHEN own.n >= {rules.LEAST_DOCUMENTS} THEN own.q1 WHEN tongue.n >= {rules.LEAST_DOCUMENTS} THEN tongue.q1 ELSE whole.q1 END AS q1,
+    CASE WHEN own.n >= {rules.LEAST_DOCUMENTS} THEN own.q3 WHEN tongue.n >= {rules.LEAST_DOCUMENTS} THEN tongue.q3 ELSE whole.q3 END AS q3
+  FROM own
+  JOIN tongue ON own.lang IS NOT DISTINCT FROM tongue.lang AND own.rate = tongue.rate
+  JOIN whole ON own.rate = whole.rate
+), judged AS (
+  SELECT r.row, string_agg(r.rate, ',' ORDER BY place) AS failed_rules
+  FROM rated r JOIN chosen c
+    ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.rate = c.rate
+  WHERE value > q3 + greatest({rules.REACH} * (q3 - q1), least)
+    OR (low_too AND value < q1 - greatest({rules.REACH} * (q3 - q1), least))
+  GROUP BY r.row
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM counted LEFT JOIN judged USING (row)"""
+
+
+ORACLES: dict[str, str] = {"op5_rules": _rules(), "op10_warc": _warc()}
