@@ -169,12 +169,12 @@ def encode_pairs(
 
 def pad(
     df: DataFrame,
-    max_len: int,
+    max_len: int | Column,
     pad_id: int = 0,
     ids: str = "input_ids",
     mask: str = "attention_mask",
 ) -> DataFrame:
-    """Fill ids up to `max_len` and add the matching mask."""
+    """Fill ids up to `max_len`, which may differ by row, and add the matching mask."""
     size = F.size(ids)
     rest = F.greatest(F.lit(max_len) - size, F.lit(0))
     kept = F.least(size, F.lit(max_len))
@@ -223,7 +223,7 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def validate_encoded(df: DataFrame, max_len: int, pad_id: int = 0) -> DataFrame:
+def validate_encoded(df: DataFrame, max_len: int | Column, pad_id: int = 0) -> DataFrame:
     """Count rows whose lengths, mask or label mask are wrong.
 
     Reads `input_ids`, `attention_mask`, `labels` and, for the label padding,

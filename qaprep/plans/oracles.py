@@ -359,10 +359,10 @@ HEX_VALUE = "('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT"
 
 
 def split_name(key: str) -> str:
-    bucket = f"{HEX_VALUE.format(key=key)} % 100"
+    number = HEX_VALUE.format(key=key)
     return (
-        f"CASE WHEN {bucket} < 80 THEN 'train' "
-        f"WHEN {bucket} < 90 THEN 'validation' ELSE 'test' END"
+        f"CASE WHEN {number} < round(0.8 * (1::BIGINT << 32)) THEN 'train' "
+        f"WHEN {number} < round(0.9 * (1::BIGINT << 32)) THEN 'validation' ELSE 'test' END"
     )
 
 
@@ -406,6 +406,18 @@ PADDED = ENCODED + """, padded AS (
                         lambda i: CASE WHEN i <= len(ids) THEN ids[i] ELSE -100 END) AS labels
   FROM encoded)"""
 
+# Whole documents, each filled up to the next multiple of 64 words.
+PADDED_WHOLE = ENCODED.replace("[1:128]", "") + """, sized AS (
+  SELECT *, greatest(64, ((len(ids) + 63) // 64) * 64) AS size FROM encoded
+), padded AS (
+  SELECT doc_id, size,
+         list_concat(ids, list_transform(range(0, size - len(ids)), lambda x: 0)) AS input_ids,
+         list_transform(range(1, size + 1),
+                        lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END) AS mask,
+         list_transform(range(1, size + 1),
+                        lambda i: CASE WHEN i <= len(ids) THEN ids[i] ELSE -100 END) AS labels
+  FROM sized)"""
+
 
 def _side(name: str, column: str, size: int) -> str:
     return f"""{name} AS (
@@ -573,7 +585,7 @@ WHERE place <= 100""",
     "encode": f"WITH {ENCODED} SELECT doc_id, {joined('ids')} AS ids FROM encoded",
     "pad": f"""WITH {PADDED} SELECT doc_id, {joined("input_ids")} AS ids,
        {joined("mask")} AS mask FROM padded""",
-    "mask_labels": f"WITH {PADDED} SELECT doc_id, {joined('labels')} AS labels FROM padded",
+    "mask_labels": f"WITH {PADDED_WHOLE} SELECT doc_id, {joined('labels')} AS labels FROM padded",
     "encode_pairs": ENCODED_PAIRS,
     "decode": f"""WITH {VOCAB}, words AS (
   SELECT doc_id, unnest(toks) AS token, unnest(range(1, len(toks) + 1)) AS pos
@@ -585,12 +597,12 @@ FROM documents p LEFT JOIN (
   GROUP BY w.doc_id) d ON d.doc_id = p.doc_id""",
     "argmax": """SELECT vec_id,
        (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best FROM embeddings""",
-    "validate_encoded": f"""WITH {PADDED} SELECT count(*) AS n_rows,
-       count(*) FILTER (len(input_ids) <> 64 OR len(mask) <> 64 OR len(labels) <> 64)
+    "validate_encoded": f"""WITH {PADDED_WHOLE} SELECT count(*) AS n_rows,
+       count(*) FILTER (len(input_ids) <> size OR len(mask) <> size OR len(labels) <> size)
          AS bad_length,
-       count(*) FILTER (list_bool_or(list_transform(range(1, 65), lambda i:
+       count(*) FILTER (list_bool_or(list_transform(range(1, size + 1), lambda i:
          input_ids[i] = 0 AND mask[i] <> 0))) AS bad_mask,
-       count(*) FILTER (list_bool_or(list_transform(range(1, 65), lambda i:
+       count(*) FILTER (list_bool_or(list_transform(range(1, size + 1), lambda i:
          (mask[i] = 0) <> (labels[i] = -100)))) AS bad_labels FROM padded""",
     "text_metrics": text_metrics(by_run=True),
     "text_metrics_total": text_metrics(by_run=False),

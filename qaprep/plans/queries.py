@@ -308,8 +308,13 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.encode(documents, "text", words, ENCODED_WORDS)
 
 
-def _padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    padded = vocab.pad(_encoded(spark, sf_dir), PADDED_WORDS)
+def _padded_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, each filled up to the next multiple of PADDED_WORDS."""
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = vocab.encode(documents, "text", _written_vocabulary(spark, sf_dir), None)
+    units = F.greatest(F.ceil(F.size("input_ids") / PADDED_WORDS), F.lit(1))
+    sized = ids.withColumn("size", (units * PADDED_WORDS).cast("int"))
+    padded = vocab.pad(sized, F.col("size"))
     labels = vocab.mask_labels(F.col("input_ids"), F.col("attention_mask"))
     return padded.withColumn("labels", labels)
 
@@ -319,13 +324,13 @@ def encode(spark, sf_dir):
 
 
 def pad(spark, sf_dir):
-    return _padded(spark, sf_dir).select(
+    return vocab.pad(_encoded(spark, sf_dir), PADDED_WORDS).select(
         "doc_id", _joined("input_ids").alias("ids"), _joined("attention_mask").alias("mask")
     )
 
 
 def mask_labels(spark, sf_dir):
-    return _padded(spark, sf_dir).select("doc_id", _joined("labels").alias("labels"))
+    return _padded_whole(spark, sf_dir).select("doc_id", _joined("labels").alias("labels"))
 
 
 def decode(spark, sf_dir):
@@ -351,7 +356,7 @@ def argmax(spark, sf_dir):
 
 
 def validate_encoded(spark, sf_dir):
-    return vocab.validate_encoded(_padded(spark, sf_dir), PADDED_WORDS)
+    return vocab.validate_encoded(_padded_whole(spark, sf_dir), F.col("size"))
 
 
 # Run logs

@@ -60,6 +60,14 @@ def test_exact_sizes(rows, shares, mode):
         start += size
 
 
+def test_close_shares_move_few_rows(rows):
+    one = splits.split_dataset(rows, "row_id").withColumnRenamed("split", "a")
+    two = splits.split_dataset(one, "row_id", train=0.805, validation=0.095, test=0.1)
+    moved = two.where("a <> split")
+    assert moved.count() <= 0.02 * rows.count() + 3
+    assert {(r.a, r.split) for r in moved.collect()} <= {("validation", "train")}
+
+
 def test_hash_split_does_not_shuffle(rows):
     assert "Exchange" not in plan_text(splits.split_dataset(rows, "row_id"))
 
