@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaprep.llm import bpe, decontaminate, langid, pii, quality, rules, secrets, simhash, substrings, warc
-from qaprep.llm.common import held_out
+from qaprep.functions.bind import bind
+from qaprep.llm import (
+    bpe, decontaminate, langid, periodic, pii, quality, rules, secrets, simhash, substrings, warc,
+)
+from qaprep.llm.common import SPACES, held_out
 
 #: The vocabulary file; the folder of public tokenizers is a parameter.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -115,6 +118,58 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumnRenamed("source_id", "page_id")
 
 
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """The documents; those whose hash is a multiple of 10 repeat a stretch of words.
+
+    A document without id or text stays as it is.
+    """
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", f"{SPACES}+"), "")
+
+    def repeated(found):
+        tens = F.floor(number / 10)
+        n = F.size(found["words"])
+        first = (tens % n).cast("int")
+        period = (1 + F.floor((n - first) / (3 + tens % 8))).cast("int")
+        # Evaluated once for all words of a document.
+        bounds = F.struct(first.alias("first"), period.alias("period"))
+        return bind(
+            bounds,
+            lambda b: F.transform(
+                found["words"],
+                lambda w, i: F.when(i < b["first"], w).otherwise(
+                    F.get(found["words"], b["first"] + (i - b["first"]) % b["period"])
+                ),
+            ),
+        )
+
+    planted = bind(
+        F.struct(words.alias("words")),
+        lambda found: F.when(F.size(found["words"]) > 0, F.array_join(repeated(found), " ")).otherwise(""),
+    )
+    changed = (number % 10 == 0) & F.col("text").isNotNull()
+    return documents.withColumn("text", F.when(changed, planted).otherwise(F.col("text")))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.with_runs(documents).select("doc_id", "runs", "collapsed")
+    # The greatest length first, then the smallest start and period.
+    ranked = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    best = F.array_min(ranked)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -132,5 +187,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op12_runs": op12_runs,
     "pipeline": pipeline,
 }
