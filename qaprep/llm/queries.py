@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from qaprep.functions.bind import bind
 from qaprep.llm import (
-    bpe, decontaminate, langid, periodic, pii, quality, rules, secrets, simhash, substrings, warc,
+    bpe, decontaminate, langid, periodic, pii, quality, rules, secrets, simhash, spelling,
+    substrings, warc,
 )
 from qaprep.llm.common import SPACES, held_out
 
@@ -170,6 +171,12 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = spelling.count_words(documents, "text", "doc_id", spelling.drop_letter)
+    return spelling.variants(words.where((F.length("word") >= 5) & (F.col("n") >= 3)))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -188,5 +195,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
     "op12_runs": op12_runs,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
