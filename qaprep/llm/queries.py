@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qaprep.functions.bind import bind
 from qaprep.llm import (
-    bpe, decontaminate, langid, periodic, pii, quality, rules, secrets, simhash, spelling,
+    bpe, decontaminate, jaccard, langid, periodic, pii, quality, rules, secrets, simhash, spelling,
     substrings, warc,
 )
 from qaprep.llm.common import SPACES, held_out
@@ -119,6 +119,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.withColumnRenamed("source_id", "page_id")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"), shingle=4, percent=85)
+
+
 def with_planted_runs(documents: DataFrame) -> DataFrame:
     """The documents; those whose hash is a multiple of 10 repeat a stretch of words.
 
@@ -194,6 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_passages": op8_passages,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op11_jaccard": op11_jaccard,
     "op12_runs": op12_runs,
     "op13_spelling": op13_spelling,
     "pipeline": pipeline,
