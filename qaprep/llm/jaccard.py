@@ -16,6 +16,7 @@ Equal sets are one entry, so that copies cost nothing after the first pass.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,10 @@ BLOCK_BYTES = 16 << 20
 BITS = 4_096
 #: Ids that are sent to every task to fetch texts; more are joined by shuffle.
 SENT_IDS = 200_000
+#: A power of two above the number of places in the ladder.
+LEVELS = 64
+#: One in SEEN rows is looked at for tiles that hold HOT of them or more.
+SEEN, HOT, HOT_TILES = 64, 512, 100_000
 #: A part with so few members is compared along with the next one.
 WEAK = 1
 
@@ -72,22 +77,32 @@ def least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * total // (100 + percent))
 
 
-def _ladder() -> np.ndarray:
+def least_parts(differing: int) -> int:
+    """Parts that sets are dealt to that may differ in so many members.
+
+    An eighth more than needed, so that linked sets share several parts.
+    """
+    return differing + 2 + differing // 8 if differing else 1
+
+
+def _ladder() -> list[int]:
     steps = [1]
-    while steps[-1] < 1 << 40:
+    while steps[-1] < 1 << 34:
         steps.append(max(steps[-1] + 1, steps[-1] * 3 // 2))
-    return np.array(steps)
+    return steps
 
 
 #: Numbers of parts. Few of them serve all sizes, so that most sets are dealt once.
 LADDER = _ladder()
+#: For each number of parts, the most members in which sets dealt so may differ.
+SERVED = [max(0, (8 * (m - 2) + 7) // 9) for m in LADDER]
 
 
-def part_counts(n: int, percent: int) -> list[int]:
-    """The numbers of parts by which a set of n members can meet a linked one."""
+def part_levels(n: int, percent: int) -> list[int]:
+    """The places in the ladder by which a set of n members can meet a linked one."""
     ends = (-(-n * percent // 100), n * 100 // percent)
-    low, high = (np.searchsorted(LADDER, most_differing(n + m, percent) + 1) for m in ends)
-    return [k for k in LADDER[low : high + 1].tolist() if k > 1]  # one part: equal sets only
+    low, high = (bisect_left(LADDER, least_parts(most_differing(n + m, percent))) for m in ends)
+    return [k for k in range(low, high + 1) if LADDER[k] > 1]  # one part: equal sets only
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -124,33 +139,35 @@ def part_keys(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _described(size: int, percent: int, names: list[str]):
-    """Rows (id, row, text) as (id, row, d1, d2, n, tiles, ties), slice by slice.
+    """Rows (id, row, text) as (id, row, d1, d2, n, tiles), slice by slice.
 
-    Of sets that share a key within a slice only the first sends it on; the
-    others are tied to that one here. This bounds what a frequent key sends.
+    Of equal sets within a slice only the first sends keys. The low bits of a
+    key tell its place in the ladder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in slices(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                rows = part.column(1).to_numpy()
-                digests, counts, keys, owners, seen = [], [], [], [], set()
-                for k, text in enumerate(text_bytes(part.column(2))):
+                digests, counts, tiles, seen = [], [], [], set()
+                for text in text_bytes(part.column(2)):
                     n, hashes = shingle_set(text, size)
                     counts.append(n)
                     digests.append(digest(hashes) if n else (None, None))
+                    keys = [np.empty(0, np.int64)]
                     if n and digests[-1] not in seen:
                         seen.add(digests[-1])
-                        for m in part_counts(n, percent):
-                            keys.append(part_keys(hashes, m))
-                            owners.append(np.full(len(keys[-1]), k))
-                tiles, ties = _first_owners(keys, owners, rows)
+                        for level in part_levels(n, percent):
+                            key = part_keys(hashes, LADDER[level]).view(np.int64)
+                            keys.append(key & ~(LEVELS - 1) | level)
+                    tiles.append(np.concatenate(keys))
+                offsets = np.cumsum([0, *[len(t) for t in tiles]])
                 d1, d2 = zip(*digests)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), part.column(1), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-                        pa.array(counts, pa.int64()), tiles, ties,
+                        pa.array(counts, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(tiles))),
                     ],
                     names,
                 )
@@ -158,25 +175,6 @@ def _described(size: int, percent: int, names: list[str]):
     return run
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """A list of values for each of n owners; the owners are sorted."""
-    offsets = np.searchsorted(owner, np.arange(n + 1))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))
-
-
-def _first_owners(keys: list[np.ndarray], owners: list[np.ndarray], rows: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    n = len(rows)
-    key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-    owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
-    _, first, group = np.unique(key, return_index=True, return_inverse=True)
-    first.sort()
-    tiles = _lists(owner[first], key[first].view(np.int64), n)
-    least = np.full(len(first), n)
-    np.minimum.at(least, group, owner)
-    tied = np.unique(np.stack([owner, least[group]])[:, owner != least[group]], axis=1)
-    return tiles, _lists(tied[0], rows[tied[1]], n)
-
-
 def _bitmaps(hashes: list[np.ndarray], bits: int) -> np.ndarray:
     """For each set the parity of its hashes by bucket, as 64-bit words."""
     out = np.empty((len(hashes), bits // 64), np.uint64)
@@ -229,14 +227,53 @@ def forest(nodes: np.ndarray, sides: np.ndarray, hashes: list[np.ndarray], perce
     return nodes[other], nodes[tree[other]]
 
 
-def _candidate_groups(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, grp): the groups of rows that share keys, directly or by others."""
-    held = sets.select("row", F.explode("tiles").alias("tile"))
-    first = F.expr("min(row) over (partition by tile)")
-    across = held.select("row", first.alias("other")).where("row != other").distinct()
-    within = sets.select("row", F.explode("ties").alias("other"))
-    copies = members.where("row != node").select("row", F.col("node").alias("other"))
-    edges = across.unionByName(within).unionByName(copies)
+def _spread(held: DataFrame) -> DataFrame:
+    """held with `salt`, other than 0 only in tiles that very many rows share.
+
+    These are found in a fixed share of the rows. At most HOT_TILES tiles can
+    have so many; which they are changes how the rows are dealt and nothing else.
+    """
+    seen = held.where(F.pmod(F.xxhash64("row"), F.lit(SEEN)) == 0)
+    sizes = seen.groupBy("tile").agg(F.count("*").alias("seen")).where(F.col("seen") >= HOT)
+    least = F.greatest(F.lit(HOT), F.expr("sum(seen) over ()") / HOT_TILES)
+    hot = sizes.select("tile", "seen", least.alias("least")).where("seen >= least")
+    hot = write_table(hot.select("tile", F.ceil(F.col("seen") / HOT).alias("salts")), "hot")
+    if hot.isEmpty():
+        return held.withColumn("salt", F.lit(0).cast("long"))
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("salts")), F.lit(0).cast("long"))
+    return held.join(F.broadcast(hot), "tile", "left").withColumn("salt", salt).drop("salts")
+
+
+def _candidate_groups(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(node, grp): the groups of sets that share keys, directly or by others.
+
+    Sets that link share as many keys as there are parts more than members in
+    which they may differ. A set that shares fewer keys with all others together
+    has no link by that number of parts, so it is left out there.
+    """
+    held = _spread(sets.select("row", "n", F.explode("tiles").alias("tile")))
+    several = F.expr("count(*) over (partition by tile, salt)") > 1
+    # A salted tile has many rows; that a share of it has one alone is as good as shared.
+    shared = held.withColumn("several", several | (F.col("salt") > 0)).where("several")
+    shared = write_table(shared.select("row", "n", "tile", "salt"), "shared")
+    level = F.col("tile").bitwiseAND(F.lit(LEVELS - 1)).cast("int")
+    partner = F.floor(F.col("n") * 100 / percent)
+    differing = F.floor((F.col("n") + partner) * (100 - percent) / (100 + percent))
+    parts, served = (F.get(F.lit(x).cast("array<long>"), level) for x in (LADDER, SERVED))
+    counted = shared.groupBy("row", level.alias("level")).agg(
+        F.count("*").alias("keys"), F.first(parts - F.least(differing, served)).alias("least")
+    )
+    able = counted.where("keys >= least").select("row", "level")
+    kept = shared.withColumn("level", level).join(able, ["row", "level"])
+    kept = kept.select("row", "tile", "salt", F.expr("min(row) over (partition by tile, salt)").alias("other"))
+    kept = write_table(kept.select("row", "tile", "salt", "other").distinct(), "ties")
+    salted = kept.where("row = other").select("tile", "row")
+    firsts = salted.groupBy("tile").agg(F.min("row").alias("other"))
+    across = salted.join(firsts, "tile").where("row != other").select("row", "other")
+    edges = kept.where("row != other").select("row", "other").unionByName(across).distinct()
+    nodes = members.select("row", "node")
+    edges = edges.join(nodes, "row").select("other", F.col("node").alias("a"))
+    edges = edges.join(nodes.withColumnRenamed("row", "other"), "other").select("a", F.col("node").alias("b"))
     # `components` names the smallest node of each component by its others only.
     found = write_table(components(edges).select("node", F.col("component").alias("grp")), "groups")
     return found.unionByName(found.select(F.col("grp").alias("node"), "grp").distinct())
@@ -367,7 +404,7 @@ def similar_documents(
         [
             rows.schema["id"],
             *[T.StructField(c, T.LongType()) for c in ("row", "d1", "d2", "n")],
-            *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("tiles", "ties")],
+            T.StructField("tiles", T.ArrayType(T.LongType())),
         ]
     )
     sets = write_table(numbered.mapInArrow(_described(shingle, percent, schema.names), schema), "sets")
@@ -378,7 +415,7 @@ def similar_documents(
     classes = write_table(classes, "classes")
     members = write_table(filled.join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select("id", "row", "n", "node"), "members")
 
-    groups = _candidate_groups(sets, members)
+    groups = _candidate_groups(sets, members, percent)
     candidates = write_table(_tiles(classes.join(groups, "node"), percent), "candidates")
     wanted = F.broadcast(candidates) if candidates.count() <= SENT_IDS else candidates
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("text", "node", "d1", "d2", "units")
