@@ -31,14 +31,14 @@ LETTERS = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 #: Letters a-z have a count each; all others share the rest of them.
 COUNTS = 32
 #: Words that a cell of the upper trees should hold.
-CELL = 2_000
+CELL = 8_000
 #: Words that one task holds of a cell; a larger cell is cut into such blocks.
-BLOCK = 16_384
+BLOCK = 32_768
 #: Words the upper trees are fitted on.
 SAMPLE = 50_000
-LEAF = 48
+LEAF = 160
 #: Pairs of a leaf that are compared at once.
-COMPARED = 1 << 16
+COMPARED = 1 << 17
 #: Words that search a cell at once.
 SEARCHED = 2_048
 #: Distinct words that a task counts before it hands them on.
@@ -117,7 +117,7 @@ def _split(vectors: np.ndarray) -> tuple[int, int] | None:
         low = (vectors <= value).sum(axis=0)
         uneven = np.abs(2 * low - len(vectors))
         letter = int(uneven.argmin())
-        if low[letter] < len(vectors) and (best is None or uneven[letter] < best[0]):
+        if uneven[letter] < (len(vectors) if best is None else best[0]):
             best = int(uneven[letter]), letter, value
     return best and best[1:]
 
@@ -192,6 +192,8 @@ class Cell:
         self.words, self.counts = words, counts
         self.points = _matrix(words)
         self.vectors = _vectors(self.points)
+        self.floats = self.vectors.astype(np.float32)
+        self.lengths = (self.floats**2).sum(axis=1)
         self.tree, self.leaves = grow(self.vectors, LEAF)
 
     def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -199,13 +201,19 @@ class Cell:
         points = _matrix(words)
         same = points.shape[1] == self.points.shape[1]
         vectors = _vectors(points)
+        # Counts of words of one length that are no more than two apart differ
+        # by one up and one down, so the squares of the distances tell as much
+        # as L1 distances, and they come from one product of matrices.
+        wanted, length = (2 if same else 1), (vectors.astype(np.float32) ** 2).sum(axis=1)
+        own = vectors.astype(np.float32)
         for leaf, rows in reached(self.tree, vectors, 1, int(same)):
             members = self.leaves[leaf]
             width = max(1, COMPARED // len(members))
             for start in range(0, len(rows), width):
                 part = rows[start : start + width]
-                distance = np.abs(vectors[part][:, None] - self.vectors[members][None]).sum(axis=2)
-                i, j = np.nonzero((distance <= 2) if same else (distance == 1))
+                product = own[part] @ self.floats[members].T
+                distance = length[part][:, None] + self.lengths[members] - 2 * product
+                i, j = np.nonzero(distance <= wanted)
                 i, j = part[i], members[j]
                 fits = _one_edit(points[i], self.points[j])
                 yield i[fits], j[fits]
