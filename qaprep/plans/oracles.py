@@ -2,11 +2,16 @@
 
 Written from the rules, not from the Spark code: windows instead of chunks,
 list expressions instead of higher-order functions, a recursive query for the
-longest common subsequence. Queries that stem words have no SQL counterpart.
+longest common subsequence, substitutions without look-around for stems.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+from qaprep.functions.stem import IRREGULAR
+from qaprep.functions.stem_rules import MARKS, STEPS, Rule
+
 # RE2 knows only ASCII whitespace by name, so the rest is spelled out.
 WS = (
     r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
@@ -45,6 +50,29 @@ def rouge(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 
 
+def _stem_case(rules: list[Rule]) -> str:
+    """One step of stemming a word `w`."""
+    cases = ["WHEN suffix(w, '!') THEN w"]
+    for rule in rules:
+        fits = f"regexp_matches(w, '{rule.ending}')" if rule.pattern else f"suffix(w, '{rule.ending}')"
+        changed = f"regexp_replace(w, '{rule.change}', '{rule.into}')" if rule.change else "w"
+        cases.append(f"WHEN {fits} THEN {changed}")
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+def stems(tokens: str) -> str:
+    """The stems of a list of lower-case tokens."""
+    marked = reduce(lambda w, mark: f"regexp_replace({w}, '{mark[0]}', '{mark[1]}', 'g')", MARKS, "w")
+    known = " ".join(f"WHEN w = '{word}' THEN '{stem}!'" for word, stem in IRREGULAR.items())
+    begun = f"CASE WHEN len(w) <= 3 THEN w || '!' {known} ELSE {marked} END"
+    bodies = [begun, *[_stem_case(rules) for rules in STEPS], "translate(w, 'Y!', 'y')"]
+    return reduce(lambda words, body: f"list_transform({words}, lambda w: {body})", bodies, tokens)
+
+
+def rouge_stems(x: str) -> str:
+    return stems(rouge(x))
+
+
 def bleu(x: str, mode: str) -> str:
     if mode == "13a":
         for old, new in (
@@ -165,13 +193,14 @@ def lcs(pairs: str) -> str:
   FROM lcs_rows r JOIN {pairs} p ON p.pid = r.pid AND r.i = len(p.a))"""
 
 
-def scored(scope: str = "trimmed") -> str:
+def scored(scope: str = "trimmed", stem: bool = False) -> str:
+    tokens = rouge_stems if stem else rouge
     return overlapped(scope) + rf""", sents AS (
   SELECT row_id, k AS idx, sents[k] AS sent, query || ' ' || label AS reference
   FROM (SELECT *, unnest(range(1, len(sents) + 1)) AS k FROM overlapped)
 ), sent_pairs AS (
   SELECT row_id * 1000 + idx AS pid, row_id, idx, sent,
-         {rouge("sent")} AS a, {rouge("reference")} AS b
+         {tokens("sent")} AS a, {tokens("reference")} AS b
   FROM sents WHERE {word_count("sent")} >= 5
 ), {lcs("sent_pairs")}, sent_scores AS (
   SELECT p.row_id, p.idx, p.sent, {f1("l.lcs", "len(p.a)", "len(p.b)")} AS score
@@ -206,8 +235,8 @@ CHEAP = "label_tokens BETWEEN 5 AND 40 AND overlap >= 0.45"
 KEPT = f"{CHEAP} AND oracle_score >= 0.15 AND len(oracle_text) > 0"
 
 
-def curated(scope: str, where: str, target: str) -> str:
-    return f"""WITH RECURSIVE {scored(scope)}
+def curated(scope: str, where: str, target: str, stem: bool = False) -> str:
+    return f"""WITH RECURSIVE {scored(scope, stem)}
 SELECT row_id, {answer("abstract_trimmed")} AS input_text, {target} AS target_text,
        query, title, abstract_trimmed, label, oracle_text,
        round(oracle_score, 6) AS "oracle_rougeL", round(overlap, 6) AS overlap, label_tokens
@@ -225,17 +254,22 @@ PREDICTIONS = scored() + f""", predictions AS (
            AS reference
   FROM (SELECT *, {sentences("abstract_trimmed")} AS s FROM scored WHERE {KEPT}))"""
 
-ROUGE_PAIRS = PREDICTIONS + f""", pred_pairs AS (
+def rouge_pairs(stem: bool = False) -> str:
+    tokens = rouge_stems if stem else rouge
+    return PREDICTIONS + f""", pred_pairs AS (
   SELECT row_id AS pid, row_id, run, predicted, reference,
-         {rouge("predicted")} AS a, {rouge("reference")} AS b FROM predictions)"""
+         {tokens("predicted")} AS a, {tokens("reference")} AS b FROM predictions)"""
+
+
+ROUGE_PAIRS = rouge_pairs()
 
 
-def rouge_scores() -> str:
+def rouge_scores(stem: bool = False) -> str:
     pair_lcs = (
         lcs("pred_pairs").replace("lcs_rows", "pred_rows").replace("lcs AS (", "pred_lcs AS (")
     )
     a2, b2 = grams("a", 2), grams("b", 2)
-    return ROUGE_PAIRS + f""", {pair_lcs}, rouge_scores AS (
+    return rouge_pairs(stem) + f""", {pair_lcs}, rouge_scores AS (
   SELECT g.row_id, g.run, {f1("m1", "len(a)", "len(b)")} AS rouge1,
          {f1("m2", "(len(a) - 1)", "(len(b) - 1)")} AS rouge2,
          {f1("l.lcs", "len(a)", "len(b)")} AS rougel, l.lcs AS lcs
@@ -272,10 +306,10 @@ def bleu_score() -> str:
     return f"(CASE WHEN {some} THEN exp({penalty} + ({logs}) / 4) ELSE 0.0 END)"
 
 
-def text_metrics(by_run: bool) -> str:
+def text_metrics(by_run: bool, stem: bool = False) -> str:
     run, group = ("run, ", " GROUP BY run") if by_run else ("", "")
     join = "USING (run)" if by_run else "ON true"
-    return f"""WITH RECURSIVE {bleu_counts("13a", rouge_scores())},
+    return f"""WITH RECURSIVE {bleu_counts("13a", rouge_scores(stem))},
 b AS (SELECT {run}{SUMS} FROM bleu_13a{group}),
 r AS (SELECT {run}avg(rouge1) AS r1, avg(rouge2) AS r2, avg(rougel) AS rl
       FROM rouge_scores{group})
@@ -284,7 +318,8 @@ SELECT {run}round({bleu_score()}, 6) AS bleu, round(r1, 6) AS rouge1,
 FROM b JOIN r {join}"""
 
 
-EVALUATE = f"""WITH RECURSIVE {bleu_counts("ws", rouge_scores())},
+def evaluate(stem: bool = False) -> str:
+    return f"""WITH RECURSIVE {bleu_counts("ws", rouge_scores(stem))},
 b AS (SELECT run, avg({bleu_score()}) AS bleu FROM bleu_ws GROUP BY run),
 r AS (SELECT run, avg(rouge1) AS r1, avg(rouge2) AS r2, avg(rougel) AS rl
       FROM rouge_scores GROUP BY run),
@@ -475,6 +510,9 @@ ORACLES: dict[str, str] = {
     ),
     "word_tokens": documents(joined(words("text")), "tokens"),
     "rouge_tokens": documents(joined(rouge("text")), "tokens"),
+    "stem_tokens": documents(joined(rouge_stems("text")), "tokens"),
+    "stem_vocabulary": f"""SELECT token, {stems("[token]")}[1] AS stem, n FROM (
+  SELECT token, count(*) AS n FROM (SELECT unnest({rouge("text")}) AS token FROM documents) GROUP BY token)""",
     "bleu_tokens_ws": documents(joined(bleu("text", "ws")), "tokens"),
     "bleu_tokens_13a": documents(joined(bleu("text", "13a")), "tokens"),
     "split_sentences": cleaned_documents(
@@ -519,6 +557,7 @@ SELECT count(*) AS rows_before, count(*) FILTER (rule = 0) AS rows_after,
        count(*) FILTER (rule = 4) AS dropped_oracle_text
 FROM flagged""",
     "curate": curated("trimmed", KEPT, "oracle_text"),
+    "curate_stemmed": curated("trimmed", KEPT, "oracle_text", stem=True),
     "curate_end_token": curated("trimmed", KEPT, "rtrim(oracle_text) || ' [END]'"),
     "curate_variant_oracle": curated("full", CHEAP, "oracle_text"),
     "curate_variant_label": curated("full", CHEAP, "label"),
@@ -606,7 +645,9 @@ FROM documents p LEFT JOIN (
          (mask[i] = 0) <> (labels[i] = -100)))) AS bad_labels FROM padded""",
     "text_metrics": text_metrics(by_run=True),
     "text_metrics_total": text_metrics(by_run=False),
-    "evaluate": EVALUATE,
+    "evaluate": evaluate(),
+    "evaluate_stemmed": evaluate(stem=True),
+    "text_metrics_stemmed": text_metrics(by_run=True, stem=True),
     "mean_loss": f"""WITH {TRAIN_LOG}
 SELECT run, step // 100 AS epoch, round(avg(loss), 6) AS mean_loss
 FROM train_log GROUP BY 1, 2""",

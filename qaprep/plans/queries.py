@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from qaprep.functions import prompts, text
 from qaprep.functions.lcs import lcs_len
+from qaprep.functions import stem_rules
 from qaprep.functions.stem import stem_tokens
 from qaprep.operators import align, batch, filters, oracle, runs, scoring, splits, vocab
 from qaprep.plans import tables
@@ -71,6 +72,10 @@ def _overlapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Text and sentence functions
 
 
+def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stem_rules.stem_vocabulary(tables.table(spark, sf_dir, "documents"))
+
+
 def normalize_label(spark, sf_dir):
     raw = tables.raw_qa(spark, sf_dir)
     return raw.select("row_id", text.normalize_label(F.col("label")).alias("label"))
@@ -610,6 +615,7 @@ QUERIES: dict[str, Query] = {
     "stem_tokens": _documents(
         lambda c: F.array_join(stem_tokens(text.rouge_tokens(c)), BAR), "tokens"
     ),
+    "stem_vocabulary": stem_vocabulary,
     "bleu_tokens_ws": _documents(lambda c: _joined(text.bleu_tokens(c, "ws")), "tokens"),
     "bleu_tokens_13a": _documents(lambda c: _joined(text.bleu_tokens(c)), "tokens"),
     "split_sentences": _documents(lambda c: F.array_join(_sentences(c), "\n"), "sentences"),

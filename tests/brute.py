@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import duckdb
 
-from qaprep.functions.stem import porter_stem
-from qaprep.plans.oracles import LABEL, sentences
+from qaprep.plans.oracles import LABEL, sentences, stems
 from qaprep.plans.oracles import clean as cleaned
 
 
@@ -17,9 +17,14 @@ def clean(text):
     return re.sub(r"\s+", " ", text or "").strip()
 
 
+@lru_cache(maxsize=None)
+def stemmed(words):
+    return duckdb.execute(f"SELECT {stems('?::VARCHAR[]')}", [list(words)]).fetchone()[0]
+
+
 def tokens(text, stem=False):
     found = re.findall("[a-z0-9]+", (text or "").lower())
-    return [porter_stem(t) if len(t) > 3 else t for t in found] if stem else found
+    return stemmed(tuple(found)) if stem else found
 
 
 def lcs(a, b):

@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from qaprep.functions import stem as stemmer
 from qaprep.functions.counts import clipped_matches
 from qaprep.functions.lcs import lcs_length, positions
 from qaprep.functions.stem import porter_stem
+from qaprep.functions.stem_rules import stem_vocabulary, with_stems
 from qaprep.functions.text import rouge_tokens
 from qaprep.operators import scoring
 from qaprep.operators.oracle import oracle_reference, select_oracle
@@ -138,3 +140,27 @@ def test_oracle_reference_modes(one):
     assert one(reference("query_label"), "q", "l") == "q l"
     with pytest.raises(ValueError):
         oracle_reference(None, None, "title")
+
+
+def test_three_ways_of_stemming_agree(spark):
+    """Arrow batches, built-in functions and SQL, on words made of known endings."""
+    rng = random.Random(1)
+    ends = [*[old for old, _ in stemmer.DERIVED + stemmer.ADJECTIVAL], *stemmer.RESIDUAL, "s", "es", "ies", "sses", "ied"]
+    ends += ["eed", "ed", "ing", "y", "yy", "e", "ll", "logi", "alli", "ting", "bled", "ized", "hopping", ""]
+    words = {*stemmer.IRREGULAR, "", "a", "sky", "ied", "ieds", "syzygy"}
+    for _ in range(8000):
+        start = "".join(rng.choice("aeiouybcdlmnrstwxz1") for _ in range(rng.randint(0, 6)))
+        words.add(start + "".join(rng.choice(ends) for _ in range(rng.choice([0, 1, 1, 2]))))
+    given = sorted(words)
+    want = stemmer.stem_words(given)
+    assert list(brute.stemmed(tuple(given))) == want
+    df = spark.createDataFrame([(w, "old") for w in given], "token string, stem string")
+    assert {r.token: r.stem for r in with_stems(df).collect()} == dict(zip(given, want))
+
+
+def test_stems_of_nothing(spark):
+    df = spark.createDataFrame([(None,), ("",), ("Running RUNS",)], "text string")
+    found = {r.token: (r.stem, r.n) for r in stem_vocabulary(df).collect()}
+    assert found == {"running": ("run", 1), "runs": ("run", 1)}
+    assert stem_vocabulary(df.limit(0)).count() == 0
+    assert with_stems(spark.createDataFrame([(None,)], "token string")).first().stem is None
