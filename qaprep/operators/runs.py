@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qaprep.operators.running import (
-    STEPS_PER_CHUNK,
+    ROWS_PER_CHUNK,
+    balanced,
     chunked,
+    ordered_by,
     running_before,
-    step_chunk,
     unchunked,
 )
 
@@ -34,16 +35,17 @@ def running_best(
     step: str = "step",
     metric: str = "metric",
     greater: bool = True,
-    width: int = STEPS_PER_CHUNK,
+    width: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add the best metric of earlier steps and whether this step improves it.
 
     Only a strict improvement counts; the first value of a run improves. NULL
-    and NaN are no values.
+    and NaN are no values. Rows of one step come one after another, in the order
+    of a hash of their content. A run is cut into chunks of about `width` rows.
     """
     how = F.max if greater else F.min
-    rows = chunked(df, [run], step_chunk(step, width))
-    scanned = running_before(rows, [F.col(step)], "best_before", _direction(metric, True), how)
+    rows = balanced(df, [run], step, width)
+    scanned = running_before(rows, ordered_by(step), "best_before", _direction(metric, True), how)
     best = unchunked(scanned, [run])
     value, before = _direction(metric, greater), _direction("best_before", greater)
     return best.withColumn("improved", F.coalesce(value > before, value.isNotNull()))
@@ -56,15 +58,17 @@ def early_stop(
     step: str = "step",
     metric: str = "metric",
     greater: bool = True,
-    width: int = STEPS_PER_CHUNK,
+    width: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per run: the first step with `patience` evaluations since the best one.
 
     `stop_step` is NULL for a run that never stops. `best_metric` and
     `best_step` look at the steps up to the stop, the earliest step on ties.
+    Evaluations of one step come one after another, in the order of a hash of
+    step and metric. A run is cut into chunks of about `width` rows.
     """
     evals = df.filter(F.col(metric).isNotNull()).select(run, step, metric)
-    rows, order = chunked(evals, [run], step_chunk(step, width)), [F.col(step)]
+    rows, order = balanced(evals, [run], step, width), ordered_by(step)
     ranked = running_before(rows, order, "_rank", F.lit(1).cast("bigint"), F.sum)
     entry = F.struct(
         _direction(metric, greater).alias("score"),
@@ -103,7 +107,7 @@ def best_checkpoint(
     step: str = "step",
     metric: str = "metric",
     greater: bool = True,
-    width: int = STEPS_PER_CHUNK,
+    width: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Best step of each run up to its early stop, the earliest on ties."""
     if patience is not None:
@@ -125,7 +129,7 @@ def step_profile(
     run: str = "run",
     step: str = "step",
     ts: str = "ts_s",
-    width: int = STEPS_PER_CHUNK,
+    width: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Seconds per step and steps per second between logs of growing steps.
 
@@ -134,7 +138,7 @@ def step_profile(
     unknown, and the first log reports 0 seconds and no rate.
     """
     first = df.groupBy(run, step).agg(F.min(ts).alias(ts))
-    rows, order = chunked(first, [run], step_chunk(step, width)), [F.col(step)]
+    rows, order = balanced(first, [run], step, width), ordered_by(step)
     later = running_before(rows, order, "_later", F.col(ts), F.min, reverse=True)
     kept = later.filter(F.col("_later").isNull() | (F.col(ts) <= F.col("_later")))
     log = F.struct(F.col(step).alias("step"), F.col(ts).alias("ts"))

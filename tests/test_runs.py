@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaprep.operators import runs
-from qaprep.operators.running import number_rows
+from qaprep.operators.running import CHUNK, balanced, number_rows
 from tests.conftest import plan_text
 
 WIDTH = 7
@@ -82,7 +82,7 @@ def test_best_checkpoint_without_a_stop(log):
 
 def test_no_window_is_over_the_run_alone(log):
     df, _ = log
-    plan = plan_text(runs.running_best(df))
+    plan = plan_text(runs.running_best(df, width=WIDTH))
     windows = [line for line in plan.splitlines() if " Window [" in line]
     row_windows = [w for w in windows if "_value" in w.split("windowspecdefinition")[0]]
     assert row_windows
@@ -207,3 +207,54 @@ def test_a_metric_may_be_named_null(spark):
     df = spark.createDataFrame(data, "run string, metric string, value double")
     rows = {r["run"]: r["null_ratio"] for r in runs.compare_runs(df, baseline="a").collect()}
     assert rows == {"a": 1.0, "b": 2.0, "c": None}
+
+
+def _chunk_sizes(df, width):
+    placed = balanced(df, ["run"], "step", width)
+    return {tuple(r[CHUNK]): r["count"] for r in placed.groupBy(CHUNK).count().collect()}
+
+
+@pytest.mark.parametrize(
+    "step",
+    [
+        "id",
+        "id * 1000000",  # wide gaps
+        "id % 2",  # all rows on two steps
+        "7",  # and on one
+        "if(id < 1900, id % 3, id * 1000000000000)",  # dense, then far away
+        "if(id % 4 > 0, id * 5 - 3000, null)",  # NULL and negative steps
+    ],
+    ids=["each", "gaps", "two", "one", "dense", "null"],
+)
+def test_chunks_are_even_whatever_the_steps(spark, step):
+    rows = spark.range(2000).select(
+        F.lit(1).alias("run"), F.expr(step).cast("long").alias("step"), (F.xxhash64("id") % 97).cast("double").alias("metric"), "id"
+    )
+    sizes = _chunk_sizes(rows, 50)
+    assert sum(sizes.values()) == 2000
+    assert max(sizes.values()) <= 150 and len(sizes) >= 20
+    ordered = sorted(rows.select("step", "metric", F.xxhash64("run", "step", "metric", "id").alias("h")).collect(),
+                     key=lambda r: (r.step is not None, r.step, r.h))
+    best, want = None, []
+    for r in ordered:
+        want.append((r.step, r.metric, best, best is None or r.metric > best))
+        best = r.metric if best is None else max(best, r.metric)
+    got = [tuple(r) for r in runs.running_best(rows, width=50).select("step", "metric", "best_before", "improved").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_equal_rows_have_one_result(spark):
+    """Rows of one step in a fixed order, however they are dealt."""
+    rows = [("r", 1, m) for m in (3.0, 1.0, 2.0, 2.0, None)] + [("r", 2, 2.5), (None, 1, 1.0), (None, None, 4.0)]
+    df = spark.createDataFrame(rows, "run string, step long, metric double")
+    results = []
+    for n in (1, 3, 7):
+        best = runs.running_best(df.repartition(n), width=2).collect()
+        stop = runs.early_stop(df.repartition(n), 2, width=2).collect()
+        results.append((sorted(map(str, best)), sorted(map(str, stop))))
+    assert results[0] == results[1] == results[2]
+
+
+def test_an_empty_log(spark):
+    df = spark.createDataFrame([], "run string, step long, metric double, ts_s double")
+    assert runs.running_best(df).count() == runs.early_stop(df, 3).count() == runs.step_profile(df).count() == 0
