@@ -358,6 +358,16 @@ SUMM = f"""summ AS (
   FROM (SELECT *, {clean("text")} AS cleaned FROM documents))"""
 
 
+def read_metrics(accuracy: str, speed: str, absent: str) -> str:
+    return f"""WITH {RUN_METRICS}, m AS (
+  SELECT '{accuracy}' AS run, 'best' AS metric, max(rougel) AS value FROM run_metrics
+  UNION ALL SELECT '{accuracy}', 'mean', avg(rougel) FROM run_metrics
+  UNION ALL SELECT '{speed}', 'best', max(latency) FROM run_metrics
+  UNION ALL SELECT '{speed}', 'mean', avg(latency) FROM run_metrics
+  UNION ALL SELECT '{absent}', NULL, NULL)
+SELECT run, metric, round(value, 6) AS value FROM m"""
+
+
 def running_best(greater: bool) -> str:
     how, sign = ("max", ">") if greater else ("min", "<")
     return f"""WITH {EVAL_LOG}, b AS (
@@ -720,13 +730,9 @@ WHERE input <> '' GROUP BY input""",
        CASE WHEN doc_id % 7 <> 0 THEN target ELSE '' END AS target FROM summ""",
     "read_presplit": f"""WITH {SUMM} SELECT doc_id, nullif(target, '') AS target, split
 FROM summ""",
-    "read_run_metrics": f"""WITH {RUN_METRICS}, m AS (
-  SELECT 'accuracy' AS run, 'best' AS metric, max(rougel) AS value FROM run_metrics
-  UNION ALL SELECT 'accuracy', 'mean', avg(rougel) FROM run_metrics
-  UNION ALL SELECT 'speed', 'best', max(latency) FROM run_metrics
-  UNION ALL SELECT 'speed', 'mean', avg(latency) FROM run_metrics
-  UNION ALL SELECT 'absent', NULL, NULL)
-SELECT run, metric, round(value, 6) AS value FROM m""",
+    "read_run_metrics": read_metrics("accuracy", "speed", "absent"),
+    "read_run_metrics_named": read_metrics("accuracy +1 [a]", "speed 50%20", "absent%"),
+    "files_in_path": """SELECT ['A+b', 'a b', 'a%20B'][doc_id % 3 + 1] AS part, doc_id FROM documents""",
     "load_pairs_raw": f"""WITH {CLEANED} SELECT
        concat_ws(' ', {named("Question", "c.query")}, {named("Title", "c.title")},
                  {named("Context", "c.abstract")}) AS input_text,

@@ -522,14 +522,21 @@ def read_presplit(spark, sf_dir):
 
 
 def read_run_metrics(spark, sf_dir):
+    return _run_metrics(spark, sf_dir, ("accuracy", "speed"), "absent")
+
+
+def read_run_metrics_named(spark, sf_dir):
+    return _run_metrics(spark, sf_dir, ("accuracy +1 [a]", "speed 50%20"), "absent%")
+
+
+def _run_metrics(spark: SparkSession, sf_dir: str, kinds: tuple[str, str], absent: str) -> DataFrame:
     path = scratch_path(spark, "runs")
     metrics = tables.run_metrics(spark, sf_dir)
-    kinds = ("accuracy", "speed")
     for kind, column in zip(kinds, ("rougeL", "latency"), strict=True):
         summary = metrics.agg(F.max(column).alias("best"), F.avg(column).alias("mean"))
         line = summary.select(F.to_json(F.struct("best", "mean")).alias("value"))
         _write_single(spark, line, f"{path}/{kind}", readers.METRICS_FILE)
-    folders = [f"{path}/{k}" for k in (*kinds, "absent")]
+    folders = [f"{path}/{k}" for k in (*kinds, absent)]
     found = readers.read_run_metrics(spark, folders)
     named = found.withColumn("run", F.regexp_extract("run", "([^/]+)$", 1))
     return _rounded(named, "value")
@@ -567,6 +574,21 @@ def path_filter(spark, sf_dir):
     return readers.read_summ_jsonl(spark, path, readers.name_glob("part-", ".JSON"))
 
 
+def files_in_path(spark, sf_dir):
+    """Rows of the files in folders whose names only differ in a special character."""
+    path = scratch_path(spark, "folders")
+    rows = tables.table(spark, sf_dir, "documents").select("doc_id")
+    names = ("a+b", "a b", "a%20b")
+    for k, name in enumerate(names):
+        rows.where(F.col("doc_id") % 3 == k).write.json(f"{path}/{name}")
+    found = [
+        readers.in_path(spark.read.schema("doc_id long").json([f"{path}/{n}" for n in names]), f"/{part}/")
+        .select(F.lit(part).alias("part"), "doc_id")
+        for part in ("A+b", "a b", "a%20B")
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def jsonl_by_step(spark, sf_dir):
     path = scratch_path(spark, "steps")
     pairs = tables.predictions(spark, sf_dir)
@@ -707,6 +729,8 @@ QUERIES: dict[str, Query] = {
     "jsonl_round_trip": jsonl_round_trip,
     "read_presplit": read_presplit,
     "read_run_metrics": read_run_metrics,
+    "read_run_metrics_named": read_run_metrics_named,
+    "files_in_path": files_in_path,
     "load_pairs_raw": load_pairs_raw,
     "load_pairs_ready": load_pairs_ready,
     "require_columns": require_columns,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +24,21 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> list[str]:
     return wanted
 
 
+def file_path() -> Column:
+    """The path of a row's file as it was named, with `%XX` of its URI resolved.
+
+    A `+` is no space in a path, unlike in a form.
+    """
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def in_path(df: DataFrame, part: str) -> DataFrame:
     """Rows of files whose whole path, folders included, contains `part`.
 
     Letter case does not count and no character is special. Spark skips the
     other files before reading them.
     """
-    path = F.lower(F.url_decode(F.col("_metadata.file_path")))
-    return df.where(F.contains(path, F.lit(part.lower())))
+    return df.where(F.contains(F.lower(file_path()), F.lit(part.lower())))
 
 
 def name_glob(part: str = "", suffix: str = "") -> str:
@@ -124,40 +132,40 @@ def read_presplit(
     )
 
 
-def _existing(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Those paths that exist, asked of the file system each one lives on."""
+def _canonical(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, bool]]:
+    """Each path as its file system names it, and whether it exists there."""
     conf = spark._jsc.hadoopConfiguration()
     found = []
     for path in paths:
         hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop_path.getFileSystem(conf).exists(hadoop_path):
-            found.append(path)
+        system = hadoop_path.getFileSystem(conf)
+        found.append((system.makeQualified(hadoop_path).toString(), system.exists(hadoop_path)))
     return found
 
 
+def _no_glob(path: str) -> str:
+    """A path to read as it is; Spark takes these characters for patterns."""
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)
+
+
 def read_run_metrics(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
     """Metrics of each run folder as `(run, metric, value)` rows.
 
-    A run without a metrics file keeps one row with NULL metric and value.
+    Folders may have any name. A run without a metrics file keeps one row with
+    NULL metric and value, and a folder named twice has its rows twice.
     """
-    runs = spark.createDataFrame([(d.rstrip("/"),) for d in run_dirs], "run string")
-    files = _existing(spark, [f"{d.rstrip('/')}/{METRICS_FILE}" for d in run_dirs])
-    if not files:
+    files = _canonical(spark, [f"{d.rstrip('/')}/{METRICS_FILE}" for d in run_dirs])
+    named = [(d.rstrip("/"), file) for d, (file, _) in zip(run_dirs, files)]
+    runs = spark.createDataFrame(named, "run string, path string")
+    existing = sorted({_no_glob(file) for file, there in files if there})
+    if not existing:
         empty = F.lit(None)
-        return runs.withColumns(
-            {"metric": empty.cast("string"), "value": empty.cast("double")}
-        )
-    texts = spark.read.text(files, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), f"^(.*)/{METRICS_FILE}$", 1).alias(
-            "_uri"
-        ),
-        F.from_json("value", "map<string,double>").alias("metrics"),
-    )
-    long = texts.select("_uri", F.explode("metrics").alias("metric", "value"))
-    bare = F.regexp_replace("run", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    bare_uri = F.regexp_replace("_uri", r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/")
-    joined = runs.join(long, bare == bare_uri, "left")
-    return joined.select("run", "metric", "value")
+        return runs.select("run", empty.cast("string").alias("metric"), empty.cast("double").alias("value"))
+    # Files as a table: their paths come back in the form of the listing.
+    bodies = spark.read.format("binaryFile").load(existing)
+    metrics = F.from_json(F.decode("content", "UTF-8"), "map<string,double>")
+    long = bodies.select("path", F.explode(metrics).alias("metric", "value"))
+    return runs.join(long, "path", "left").select("run", "metric", "value")
 
 
 def load_pairs(

@@ -88,6 +88,17 @@ def test_run_metrics(spark, tmp_path):
     assert readers.read_run_metrics(spark, dirs[1:]).count() == 2
 
 
+@pytest.mark.parametrize("name", ["a b", "a+b", "a%20b", "a%b", "[a]", "{a,b}", "a*?", "é"])
+def test_folders_of_any_name(spark, tmp_path, name):
+    _write(tmp_path / name, "eval_metrics.json", json.dumps({"bleu": 0.5}))
+    _write(tmp_path / "a  b" / "x", "eval_metrics.json", json.dumps({"bleu": 0.75}))
+    dirs = [str(tmp_path / name), f"file:{tmp_path}/{name}/", str(tmp_path / "none")]
+    found = sorted(map(tuple, readers.read_run_metrics(spark, dirs).collect()), key=str)
+    assert found == sorted([(dirs[0], "bleu", 0.5), (dirs[1][:-1], "bleu", 0.5), (dirs[2], None, None)], key=str)
+    lines = spark.read.option("recursiveFileLookup", True).text(str(tmp_path))
+    assert readers.in_path(lines, f"/{name}/").count() == 1
+
+
 def test_metrics_log_matches_by_name(spark, tmp_path):
     path = str(tmp_path / "log")
     writers.append_metrics(spark.createDataFrame([("x", 1.0, 2.0)], "run string, bleu double, loss double"), path)
