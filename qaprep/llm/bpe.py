@@ -320,11 +320,6 @@ def load(file: str) -> Tokenizer:
     return Tokenizer(file)
 
 
-def _local(path: str, shipped: str) -> str:
-    """The file itself where the machine has it, else the copy Spark shipped."""
-    return path if os.path.exists(path) else SparkFiles.get(shipped)
-
-
 def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """df with `ids` (array of int), the tokens of each text, and `decoded`.
 
@@ -336,7 +331,7 @@ def encode_decode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFram
     name = os.path.basename(tokenizer)
 
     def make():
-        coder = load(_local(tokenizer, name))
+        coder = load(SparkFiles.get(name))
 
         def compute(texts: pa.Array) -> list:
             words = [t.decode("utf-8", "replace") for t in text_bytes(texts)]

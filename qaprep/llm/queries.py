@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,7 @@ from qaprep.llm import (
 )
 from qaprep.llm.common import SPACES, held_out
 
-#: The vocabulary file; the folder of public tokenizers is a parameter.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: The vocabulary file among the public tokenizers.
 VOCABULARY = "byte_bpe_50k.json"
 ACCEPTED = 0.3
 
@@ -26,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tokenizer_path() -> str:
-    return os.path.join(TOKENIZERS, VOCABULARY)
+    return public_tokenizers.path(VOCABULARY)
 
 
 def hexadecimal(number: str):

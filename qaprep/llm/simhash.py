@@ -277,6 +277,17 @@ def near_duplicates(
         df.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "text", shingle
     )
     rows = write_table(rows.select("id", "simhash"), "fingerprints")
+    found = grouped(rows, distance)
+    return found.select(F.col("id").alias(id_column), "simhash", "component_id")
+
+
+def grouped(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """(id, simhash, component_id, component) of rows (id, simhash) of a table.
+
+    As `near_duplicates`, from fingerprints that were written. `component` is a
+    fingerprint that stands for the component; unlike the id it is never shared
+    by two components and never NULL.
+    """
     prints = rows.groupBy("simhash").agg(F.min("id").alias("least"))
     radius = ball_radius(distance, rows.count())
     groups = components(links(prints.select("simhash"), distance, radius))
@@ -284,5 +295,5 @@ def near_duplicates(
         "simhash", "least", F.coalesce("component", "simhash").alias("component")
     )
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "component").select("simhash", "component_id")
-    return rows.join(labels, "simhash").select(F.col("id").alias(id_column), "simhash", "component_id")
+    labels = named.join(least, "component").select("simhash", "component_id", "component")
+    return rows.join(labels, "simhash").select("id", "simhash", "component_id", "component")

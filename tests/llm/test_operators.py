@@ -493,6 +493,16 @@ def test_near_duplicate_stage_keeps_one_of_each_group(spark, tmp_path):
     assert kept == [1, 3, 4, None]
 
 
+def test_near_duplicate_stage_knows_rows_by_id_and_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = prose(1, 200), prose(2, 200)
+    rows = [(1, a, "x", 1), (5, b, "y", 2), (5, a, "z", 3), (7, b + " end", "x", 4), (7, None, "", 5), (8, "", "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, SimHash string, component long")
+    out = pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[1], rows[4]]
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in __import__("qaprep.llm.sql", fromlist=["x"]).ORACLES])
 def test_sql_counterpart(spark, name):
     from tests.compare import compare, connect
