@@ -20,35 +20,53 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that score below the accepted quality."""
+    """Drop documents that score below the accepted quality.
+
+    NULL and empty texts are scored as texts without words; repeated rows get
+    equal scores. A document without id is never learned from.
+    """
     ship_package(spark)
     found = queries.scored(docs, queries.table(spark, sf_dir, "labels"))
     return found.where(F.col("score") >= queries.ACCEPTED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group.
+    """Keep one document of each group: a row that has the group's smallest id.
 
-    Of repeated rows one stays. Rows without id cannot be told apart and stay.
+    A row is known by its id and fingerprint, so a copy goes even if its id also
+    names another text. Of rows that are equal in both one stays. Texts without
+    words, NULL or empty, are a group like any other. Rows without id cannot be
+    told apart and stay. Columns of docs may have any name.
     """
     ship_package(spark)
-    found = simhash.near_duplicates(docs, shingle=4, distance=4)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
-    order = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    first = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1")
-    return first.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    clash = {c: f"__{k}" for k, c in enumerate(docs.columns) if c.lower() in ("simhash", "component", "__n")}
+    plain = docs.withColumnsRenamed(clash)
+    printed = write_table(simhash.with_fingerprint(plain, shingle=4), "printed")
+    found = simhash.grouped(printed.select(F.col("doc_id").alias("id"), "simhash"), distance=4)
+    first = found.where(F.col("id") == F.col("component_id")).groupBy("id", "component")
+    kept = first.agg(F.min("simhash").alias("simhash")).select(F.col("id").alias("doc_id"), "simhash").distinct()
+    order = W.partitionBy("doc_id", "simhash").orderBy(F.xxhash64("text"))
+    rows = printed.join(kept, ["doc_id", "simhash"], "left_semi").withColumn("__n", F.row_number().over(order))
+    out = rows.where("__n = 1").unionByName(printed.where(F.col("doc_id").isNull()), allowMissingColumns=True)
+    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that repeat a benchmark text."""
+    """Drop documents that repeat a benchmark text.
+
+    NULL and empty texts repeat none. Each row is decided by its own text, so
+    repeated rows stay or go together.
+    """
     ship_package(spark)
     found = decontaminate.with_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets in the texts; a changed text's n_chars follows."""
+    """Replace secrets in the texts; a changed text's n_chars follows.
+
+    Rows without text or without secrets stay as they are, NULL as NULL.
+    """
     ship_package(spark)
     model = secrets.fit(docs, path="source")
     found = secrets.scan(docs, model, path="source")
@@ -61,7 +79,11 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the tokens of each document and of the text they decode to."""
+    """Digests of the tokens of each document and of the text they decode to.
+
+    NULL and empty texts have no tokens and decode to an empty text. One row
+    for each row of docs, repeated ones included.
+    """
     ship_package(spark)
     return queries.token_digests(docs)
 
