@@ -81,3 +81,31 @@ def evaluate(df: DataFrame, by: Sequence[str] = (), stem: bool = True) -> DataFr
         *[_mean(c).alias(c) for c in ROUGE_COLUMNS],
         _mean(exact).alias("exact_match"),
     )
+
+
+SCORES = ("bleu_score", *ROUGE_COLUMNS, "exact_match")
+
+
+def score_rows(df: DataFrame, stem: bool = True) -> DataFrame:
+    """df with each row's BLEU, ROUGE F1 and exact match.
+
+    NULL texts count as empty. Columns of df that have the name of a score are
+    replaced.
+    """
+    plain = df.drop(*SCORES)
+    exact = is_exact(F.col("predicted"), F.col("reference"))
+    return sentence_bleu(with_rouge(plain, stem)).withColumn("exact_match", exact).select(*plain.columns, *SCORES)
+
+
+def evaluate_saved(df: DataFrame, path: str, by: Sequence[str] = (), stem: bool = True) -> DataFrame:
+    """Write the scored rows as Parquet and return the means of each group.
+
+    The texts are crossed once: the means are taken from the scores in the
+    written table, of which only these columns are read, so they are the means
+    of just the rows that were kept. An empty table gives zeros, or no groups.
+    """
+    scored = score_rows(df, stem)
+    scored.write.parquet(path)
+    saved = df.sparkSession.read.schema(scored.schema).parquet(path)
+    names = {"bleu_score": "bleu"}
+    return saved.groupBy(*by).agg(*[_mean(c).alias(names.get(c, c)) for c in SCORES])

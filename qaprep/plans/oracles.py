@@ -328,6 +328,12 @@ SELECT run, round(bleu, 6) AS bleu, round(r1, 6) AS rouge1, round(r2, 6) AS roug
        round(rl, 6) AS "rougeL", round(em, 6) AS exact_match
 FROM b JOIN r USING (run) JOIN e USING (run)"""
 
+SCORE_ROWS = f"""WITH RECURSIVE {bleu_counts("ws", rouge_scores(stem=True))}
+SELECT row_id, run, round({bleu_score()}, 6) AS bleu_score, round(rouge1, 6) AS rouge1,
+       round(rouge2, 6) AS rouge2, round(rougel, 6) AS "rougeL",
+       (predicted = reference)::INTEGER::DOUBLE AS exact_match
+FROM bleu_ws JOIN rouge_scores USING (row_id, run) JOIN predictions USING (row_id, run)"""
+
 EVAL_LOG = """eval_log AS (
   SELECT (user_id % 20)::INTEGER AS run,
          row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS step,
@@ -656,6 +662,8 @@ FROM documents p LEFT JOIN (
     "text_metrics": text_metrics(by_run=True),
     "text_metrics_total": text_metrics(by_run=False),
     "evaluate": evaluate(),
+    "evaluate_saved": evaluate(),
+    "score_rows": SCORE_ROWS,
     "evaluate_stemmed": evaluate(stem=True),
     "text_metrics_stemmed": text_metrics(by_run=True, stem=True),
     "mean_loss": f"""WITH {TRAIN_LOG}

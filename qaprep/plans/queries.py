@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaprep.functions import prompts, text
+from qaprep.functions import prompts, stem_rules, text
 from qaprep.functions.lcs import lcs_len
-from qaprep.functions import stem_rules
 from qaprep.functions.stem import stem_tokens
 from qaprep.operators import align, batch, filters, oracle, runs, scoring, splits, vocab
+from qaprep.plans import evaluate as evaluation
 from qaprep.plans import tables
 from qaprep.plans.curate import (
     CLEAN,
@@ -235,6 +235,18 @@ def _metrics(by: tuple[str, ...], stem: bool) -> Query:
     return query
 
 
+def score_rows(spark, sf_dir):
+    pairs = tables.predictions(spark, sf_dir).select("row_id", "run", "predicted", "reference")
+    scored = evaluation.score_rows(pairs, stem=True).drop("predicted", "reference")
+    return _rounded(scored, *evaluation.SCORES)
+
+
+def evaluate_saved(spark, sf_dir):
+    pairs = tables.predictions(spark, sf_dir)
+    means = evaluation.evaluate_saved(pairs, scratch_path(spark, "scored"), ["run"], stem=False)
+    return _rounded(means, "bleu", "rouge1", "rouge2", "rougeL", "exact_match")
+
+
 def _evaluate(stem: bool) -> Query:
     def query(spark, sf_dir):
         report = evaluate(tables.predictions(spark, sf_dir), ["run"], stem)
@@ -704,6 +716,8 @@ QUERIES: dict[str, Query] = {
     "text_metrics_total": _metrics((), stem=False),
     "text_metrics_stemmed": _metrics(("run",), stem=True),
     "evaluate": _evaluate(stem=False),
+    "score_rows": score_rows,
+    "evaluate_saved": evaluate_saved,
     "evaluate_stemmed": _evaluate(stem=True),
     "mean_loss": mean_loss,
     "latency_summary": latency_summary,

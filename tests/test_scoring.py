@@ -13,7 +13,7 @@ from qaprep.functions.stem_rules import stem_vocabulary, with_stems
 from qaprep.functions.text import rouge_tokens
 from qaprep.operators import scoring
 from qaprep.operators.oracle import oracle_reference, select_oracle
-from qaprep.plans.evaluate import evaluate, text_metrics
+from qaprep.plans.evaluate import evaluate, evaluate_saved, text_metrics
 from tests import brute
 
 WORDS = "the cat sat on a mat running happily relational hopes hoped a the".split()
@@ -164,3 +164,21 @@ def test_stems_of_nothing(spark):
     assert found == {"running": ("run", 1), "runs": ("run", 1)}
     assert stem_vocabulary(df.limit(0)).count() == 0
     assert with_stems(spark.createDataFrame([(None,)], "token string")).first().stem is None
+
+
+def test_rows_and_means_come_from_one_table(spark, tmp_path):
+    rows = [(1, "a", "the cat sat on mats", "the cats sat on a mat", 9), (2, "a", None, "", 9), (3, "b", "x y z w", "x y z w", 9)]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "row_id int, run string, predicted string, reference string, rouge1 int, kept string")
+    means = {r.run: r for r in evaluate_saved(df, str(tmp_path / "rows"), ["run"]).collect()}
+    saved = {r.row_id: r for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert [saved[k].exact_match for k in (1, 2, 3)] == [0.0, 1.0, 1.0]
+    assert [saved[k].bleu_score for k in (2, 3)] == [0.0, 1.0] and saved[1].kept == "old"
+    a, b = brute.tokens(rows[0][2], True), brute.tokens(rows[0][3], True)
+    assert saved[1].rougeL == pytest.approx(brute.rouge_l(a, b))
+    assert saved[1].rouge2 == pytest.approx(brute.rouge_n(a, b, 2))
+    whole = {r.run: r for r in evaluate(df.drop("rouge1"), ["run"]).collect()}
+    assert set(means) == set(whole)
+    for run, row in means.items():
+        assert tuple(row)[1:] == pytest.approx(tuple(whole[run])[1:])
+    none = evaluate_saved(df.limit(0), str(tmp_path / "none")).first()
+    assert tuple(none) == (0.0,) * 5
