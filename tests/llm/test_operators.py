@@ -509,3 +509,11 @@ def test_sql_counterpart(spark, name):
     from qaprep.llm.sql import ORACLES
 
     assert compare(connect(SMALL), queries.QUERIES[name](spark, SMALL), ORACLES[name]) == ""
+
+
+def test_places_of_very_long_texts(spark):
+    low = np.array([0, 5, 2_097_152, 5_000_000, 2**31 - 2])
+    high = low + np.array([0, 3_000_000, 60, 2_500_000, 1])
+    df = spark.createDataFrame([(int(p),) for p in substrings._packed(low, high)], "place long")
+    found = df.select(substrings._low("place"), substrings._high("place")).collect()
+    assert [tuple(r) for r in found] == [(a, b + 1) for a, b in zip(low.tolist(), high.tolist())]
