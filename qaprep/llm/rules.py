@@ -4,8 +4,10 @@ Counts of each document are turned into rates. For every language and source a
 mergeable quantile sketch holds how the rates are spread: a count for each
 bucket of a scale whose buckets are 1/32 of their value wide at most. Sketches
 are added bucket by bucket, so those of a language, or of the whole corpus, are
-sums of the smaller ones; they stand in where a group is small. A document is
-kept if no rate lies beyond its group's fences.
+sums of the smaller ones. A language's sketch is blended with a few documents
+spread like the corpus, and a source's with a few spread like its language, so
+that fences of small groups change smoothly as documents are added. A document
+is kept if no rate lies beyond its group's fences.
 """
 
 from __future__ import annotations
@@ -22,19 +24,34 @@ from qaprep.llm.common import append_columns, text_bytes, without, write_table
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
-#: Groups with fewer documents use the sketch of their language, then of all.
-LEAST_DOCUMENTS = 40
-#: How many interquartile ranges beyond the quartiles a rate may lie.
+#: As many documents of the wider group are blended into a group's sketch.
+BLENDED = 10
+#: Parts that a document is counted in when sketches are blended.
+PARTS = 1000
+#: Distances of a quantile from the median that a fence lies beyond the quantile.
 REACH = 3
-#: Rates, whether low values count too, and the least distance of a fence from
-#: its quartile: thousandths, and hundredths of a character for the length.
+#: So many words, lines or characters too many, or too few, break no rule yet.
+SPARED = 3
+#: Whether low values count too, and the quantile, in hundredths, whose distance
+#: from the median makes the fence. It tells how common a trait may be in a
+#: group before it is usual there: symbols in a quarter of all documents, odd
+#: lengths in a twentieth, the others in a hundredth.
 RATES = {
-    "symbol_rate": (False, 60),
-    "dup_line_rate": (False, 400),
-    "repeat_rate": (False, 250),
-    "mark_rate": (False, 150),
-    "upper_rate": (False, 250),
-    "word_length": (True, 400),
+    "symbol_rate": (False, 75),
+    "dup_line_rate": (False, 99),
+    "repeat_rate": (False, 99),
+    "mark_rate": (False, 99),
+    "upper_rate": (False, 99),
+    "word_length": (True, 95),
+}
+#: Count, what it is divided by, and the unit: thousandths, or hundredths.
+SHARES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1000),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000),
+    "mark_rate": ("n_marks", "n_words", 1000),
+    "upper_rate": ("n_upper", "word_chars", 1000),
+    "word_length": ("word_chars", "n_words", 100),
 }
 
 
@@ -92,17 +109,9 @@ def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 def rates() -> dict[str, Column]:
     """Rates in whole thousandths (hundredths for the length of words)."""
-
-    def rate(part: Column, whole: str, factor: int) -> Column:
-        return F.floor(factor * part / F.greatest(F.col(whole), F.lit(1)))
-
     return {
-        "symbol_rate": rate(F.col("n_symbols"), "word_chars", 1000),
-        "dup_line_rate": rate(F.col("n_dup_lines"), "n_lines", 1000),
-        "repeat_rate": rate(F.col("n_repeat_words"), "n_words", 1000),
-        "mark_rate": rate(F.col("n_marks"), "n_words", 1000),
-        "upper_rate": rate(F.col("n_upper"), "word_chars", 1000),
-        "word_length": rate(F.col("word_chars"), "n_words", 100),
+        rate: F.floor(unit * F.col(part) / F.greatest(F.col(whole), F.lit(1)))
+        for rate, (part, whole, unit) in SHARES.items()
     }
 
 
@@ -127,27 +136,68 @@ def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """(keys, name): documents, and a map from rate to lowest and highest value."""
+def spread_like(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, bucket, n): BLENDED documents, in PARTS, spread like a sketch."""
+    by = W.partitionBy(*keys, "rate")
+    upto, total = F.sum("n").over(by.orderBy("bucket")), F.sum("n").over(by)
+    part = lambda n: F.floor(n * F.lit(BLENDED * PARTS) / F.col("total"))
+    summed = sketch.select(*keys, "rate", "bucket", "n", upto.alias("upto"), total.alias("total"))
+    return summed.select(*keys, "rate", "bucket", (part(F.col("upto")) - part(F.col("upto") - F.col("n"))).alias("n"))
+
+
+def blended(sketch: DataFrame, keys: list[str], wider: DataFrame, shared: list[str]) -> DataFrame:
+    """Sketches of groups, in PARTS of documents, with some of the wider group's.
+
+    Each group of `keys` lies in one group of `shared`, whose documents come
+    from `spread_like`.
+    """
+    groups = sketch.select(*keys, "rate").distinct()
+    named = wider.withColumnsRenamed({c: f"w_{c}" for c in [*shared, "rate"]})
+    same = [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in [*shared, "rate"]]
+    more = groups.join(named, same).select(*keys, "rate", "bucket", "n")
+    own = sketch.select(*keys, "rate", "bucket", (F.col("n") * PARTS).alias("n"))
+    return merged(own.union(more), keys)
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ends): a map from rate to lowest and highest value."""
     by = W.partitionBy(*keys, "rate")
     ranked = sketch.select(
         *keys, "rate", "bucket",
         F.sum("n").over(by.orderBy("bucket")).alias("upto"),
-        F.sum("n").over(by).alias("all"),
+        F.sum("n").over(by).alias("total"),
     )
-    quartiles = ranked.groupBy(*keys, "rate").agg(
-        F.max("all").alias("n"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
+    level = F.create_map(*[F.lit(x) for k, (_, q) in RATES.items() for x in (k, q)])[F.col("rate")]
+    at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("total") * share, F.col("bucket")))
+    quantiles = ranked.groupBy(*keys, "rate").agg(
+        at(100 - level).alias("few"), at(F.lit(50)).alias("middle"), at(level).alias("many")
     )
-    least = F.create_map(*[F.lit(x) for k, (_, m) in RATES.items() for x in (k, m)])
-    spread = F.greatest(REACH * (F.col("q3") - F.col("q1")), least[F.col("rate")])
-    ends = F.struct((F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
-    return quartiles.groupBy(*keys).agg(
-        F.struct(
-            F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rate", ends))).alias("ends")
-        ).alias(name)
+    ends = F.struct(
+        (F.col("few") - REACH * (F.col("middle") - F.col("few"))).alias("low"),
+        (F.col("many") + REACH * (F.col("many") - F.col("middle"))).alias("high"),
     )
+    return quantiles.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rate", ends))).alias("ends"))
+
+
+def group_fences(counted: DataFrame) -> DataFrame:
+    """(g_lang, g_source, ends) from rows of COUNTS, g_lang and g_source."""
+    own = write_table(sketches(counted, ["g_lang", "g_source"]), "sketches")
+    by_lang = merged(own, ["g_lang"])
+    corpus = spread_like(merged(by_lang, []), [])
+    tongue = write_table(spread_like(blended(by_lang, ["g_lang"], corpus, []), ["g_lang"]), "tongues")
+    return fences(blended(own, ["g_lang", "g_source"], tongue, ["g_lang"]), ["g_lang", "g_source"])
+
+
+def broken_rules(ends: Column) -> Column:
+    """Names of the rates that lie beyond their fences by more than SPARED counts."""
+    names = []
+    for rate, (part, whole, unit) in SHARES.items():
+        size = F.greatest(F.col(whole), F.lit(1))
+        out = unit * (F.col(part) - SPARED) > ends[rate]["high"] * size
+        if RATES[rate][0]:
+            out = out | (unit * (F.col(part) + SPARED) < ends[rate]["low"] * size)
+        names.append(F.when(out, F.lit(rate)))
+    return F.array_compact(F.array(*names))
 
 
 def apply_rules(
@@ -167,22 +217,7 @@ def apply_rules(
     if not keep_text:
         rows = write_table(rows.drop(text), "counts")
     counted = rows.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), *COUNTS)
-    small = write_table(sketches(counted.where(~failed), ["g_lang", "g_source"]), "sketches")
-    by_source = fences(small, ["g_lang", "g_source"], "own")
-    by_lang = fences(merged(small, ["g_lang"]), ["g_lang"], "tongue").withColumnRenamed("g_lang", "t_lang")
-    over_all = fences(merged(small, []), [], "whole")
-    large = lambda c: F.col(c)["n"] >= LEAST_DOCUMENTS
-    table = (
-        by_source.join(by_lang, F.col("g_lang").eqNullSafe(F.col("t_lang")))
-        .join(F.broadcast(over_all))  # one row
-        .select(
-            "g_lang", "g_source",
-            F.when(large("own"), F.col("own"))
-            .when(large("tongue"), F.col("tongue"))
-            .otherwise(F.col("whole"))["ends"].alias("g_ends"),
-        )
-    )
-    table = write_table(table, "fences")
+    table = write_table(group_fences(counted.where(~failed)), "fences")
     if table.count() <= 20_000:  # groups of language and source
         table = F.broadcast(table)
     joined = rows.join(
@@ -190,15 +225,8 @@ def apply_rules(
         rows[lang].eqNullSafe(table["g_lang"]) & rows[source].eqNullSafe(table["g_source"]),
         "left",
     )
-    broken = []
-    for name, value in rates().items():
-        ends = F.col("g_ends")[name]
-        out = value > ends["high"]
-        if RATES[name][0]:
-            out = out | (value < ends["low"])
-        broken.append(F.when(out, F.lit(name)))
     return joined.select(
         *rows.columns,
         failed.alias("base_failed"),
-        F.array_compact(F.array(*broken)).alias("failed_rules"),
+        broken_rules(F.col("ends")).alias("failed_rules"),
     ).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -67,31 +67,27 @@ FROM derived"""
 def _rules() -> str:
     word = r"[^\x20\x09-\x0D]"
     size = lambda sign: f"length(regexp_replace(body, '[^{sign}]', '', 'g'))"
-    parts = {
-        "symbol_rate": ("n_symbols", "word_chars", 1000),
-        "dup_line_rate": ("n_dup_lines", "n_lines", 1000),
-        "repeat_rate": ("n_repeat_words", "n_words", 1000),
-        "mark_rate": ("n_marks", "n_words", 1000),
-        "upper_rate": ("n_upper", "word_chars", 1000),
-        "word_length": ("word_chars", "n_words", 100),
-    }
-    rates = ", ".join(f"floor({f} * {a} / greatest({b}, 1))::BIGINT AS {k}" for k, (a, b, f) in parts.items())
+    rates = ", ".join(
+        f"floor({f} * {a} / greatest({b}, 1))::BIGINT AS {k}" for k, (a, b, f) in rules.SHARES.items()
+    )
     rows = " UNION ALL ".join(
         f"SELECT row, lang, source, base_failed, {i} AS place, '{k}' AS rate, {k} AS value, "
-        f"{rules.RATES[k][0]} AS low_too, {rules.RATES[k][1]} AS least FROM counted"
-        for i, k in enumerate(parts)
+        f"{rules.RATES[k][0]} AS low_too, {rules.RATES[k][1]} AS level, "
+        f"{f} * ({a} - {rules.SPARED}) AS least, {f} * ({a} + {rules.SPARED}) AS most, greatest({b}, 1) AS size FROM counted"
+        for i, (k, (a, b, f)) in enumerate(rules.SHARES.items())
     )
+    pieces = rules.BLENDED * rules.PARTS
 
-    def fences(keys: str) -> str:
-        by = f"{keys}, " if keys else ""
+    def spread_like(table: str, keys: str) -> str:
         return f"""
-  SELECT {by}rate, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bucket END) AS q1,
-    min(CASE WHEN upto * 4 >= total * 3 THEN bucket END) AS q3
-  FROM (
-    SELECT {by}rate, bucket, sum(sum(n)) OVER (PARTITION BY {by}rate ORDER BY bucket) AS upto,
-      sum(sum(n)) OVER (PARTITION BY {by}rate) AS total
-    FROM sketch GROUP BY {by}rate, bucket
-  ) GROUP BY {by}rate"""
+  SELECT {keys}rate, level, bucket, upto * {pieces} // total - (upto - n) * {pieces} // total AS n FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {keys}rate ORDER BY bucket)::BIGINT AS upto,
+      sum(n) OVER (PARTITION BY {keys}rate)::BIGINT AS total
+    FROM {table}
+  )"""
+
+    def quantile(share: str) -> str:
+        return f"min(CASE WHEN upto * 100 >= total * ({share}) THEN bucket END)"
 
     return f"""
 WITH given AS (
@@ -123,23 +119,40 @@ WITH given AS (
   SELECT *, CASE WHEN value < 64 THEN value ELSE value - value % (1 << (length(bin(value)) - 6)) END AS bucket
   FROM ({rows})
 ), sketch AS (
-  SELECT lang, source, rate, bucket, count(*) AS n FROM rated WHERE NOT base_failed GROUP BY ALL
-), own AS ({fences("lang, source")}
-), tongue AS ({fences("lang")}
-), whole AS ({fences("")}
-), chosen AS (
-  SELECT own.lang, own.source, own.rate,
-    CASE WHEN own.n >= {rules.LEAST_DOCUMENTS} THEN own.q1 WHEN tongue.n >= {rules.LEAST_DOCUMENTS} THEN tongue.q1 ELSE whole.q1 END AS q1,
-    CASE WHEN own.n >= {rules.LEAST_DOCUMENTS} THEN own.q3 WHEN tongue.n >= {rules.LEAST_DOCUMENTS} THEN tongue.q3 ELSE whole.q3 END AS q3
-  FROM own
-  JOIN tongue ON own.lang IS NOT DISTINCT FROM tongue.lang AND own.rate = tongue.rate
-  JOIN whole ON own.rate = whole.rate
+  SELECT lang, source, rate, level, bucket, count(*) AS n FROM rated WHERE NOT base_failed GROUP BY ALL
+), by_lang AS (
+  SELECT lang, rate, level, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL
+), corpus AS (
+  SELECT rate, level, bucket, sum(n)::BIGINT AS n FROM sketch GROUP BY ALL
+), corpus_part AS ({spread_like("corpus", "")}
+), tongue AS (
+  SELECT lang, rate, level, bucket, sum(n)::BIGINT AS n FROM (
+    SELECT lang, rate, level, bucket, n * {rules.PARTS} AS n FROM by_lang
+    UNION ALL
+    SELECT lang, rate, level, bucket, n FROM (SELECT DISTINCT lang, rate FROM by_lang) JOIN corpus_part USING (rate)
+  ) GROUP BY ALL
+), tongue_part AS ({spread_like("tongue", "lang, ")}
+), own AS (
+  SELECT lang, source, rate, level, bucket, sum(n)::BIGINT AS n FROM (
+    SELECT lang, source, rate, level, bucket, n * {rules.PARTS} AS n FROM sketch
+    UNION ALL
+    SELECT g.lang, source, g.rate, level, bucket, n
+    FROM (SELECT DISTINCT lang, source, rate FROM sketch) g
+    JOIN tongue_part t ON g.lang IS NOT DISTINCT FROM t.lang AND g.rate = t.rate
+  ) GROUP BY ALL
+), quantiles AS (
+  SELECT lang, source, rate, {quantile("100 - level")} AS few, {quantile("50")} AS middle, {quantile("level")} AS many
+  FROM (
+    SELECT *, sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket) AS upto,
+      sum(n) OVER (PARTITION BY lang, source, rate) AS total
+    FROM own
+  ) GROUP BY lang, source, rate
 ), judged AS (
   SELECT r.row, string_agg(r.rate, ',' ORDER BY place) AS failed_rules
-  FROM rated r JOIN chosen c
+  FROM rated r JOIN quantiles c
     ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source AND r.rate = c.rate
-  WHERE value > q3 + greatest({rules.REACH} * (q3 - q1), least)
-    OR (low_too AND value < q1 - greatest({rules.REACH} * (q3 - q1), least))
+  WHERE least > (many + {rules.REACH} * (many - middle)) * size
+    OR (low_too AND most < (few - {rules.REACH} * (middle - few)) * size)
   GROUP BY r.row
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

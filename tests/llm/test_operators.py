@@ -262,6 +262,76 @@ def test_fences_follow_the_group(spark):
     assert kept == set(range(60)) | set(range(100, 160))
 
 
+def plain_fences(groups: dict) -> dict:
+    """Fences of (lang, source) -> buckets of one rate's values, at the level of 99."""
+
+    def parts_like(masses):
+        total, upto, out = sum(masses.values()), 0, Counter()
+        for b in sorted(masses):
+            before, upto = upto, upto + masses[b]
+            out[b] = upto * 10_000 // total - before * 10_000 // total
+        return out
+
+    thousand = lambda c: Counter({b: 1000 * n for b, n in c.items()})
+    langs: dict = {}
+    for (lang, _), c in groups.items():
+        langs[lang] = langs.get(lang, Counter()) + c
+    corpus = parts_like(sum(langs.values(), Counter()))
+    tongues = {lang: parts_like(thousand(c) + corpus) for lang, c in langs.items()}
+    found = {}
+    for key, c in groups.items():
+        masses = thousand(c) + tongues[key[0]]
+        total = sum(masses.values())
+
+        def at(share):
+            upto = 0
+            for b in sorted(masses):
+                upto += masses[b]
+                if upto * 100 >= total * share:
+                    return b
+
+        found[key] = at(99) + 3 * (at(99) - at(50))
+    return found
+
+
+def test_fences_come_from_blended_sketches(spark):
+    rng = random.Random(12)
+    rows = []
+    for lang, source, n in [("en", "a", 300), ("en", "b", 5), ("en", None, 70), (None, "a", 40), ("fr", "c", 1)]:
+        for _ in range(n):
+            upper = min(63, int(rng.expovariate(0.1) * (3 if source == "b" else 1)))
+            # Rates below 64 are buckets of their own.
+            rows.append((lang, source, 100, 1000, 0, 0, 0, 1, 0, upper))
+    counted = spark.createDataFrame(rows, "g_lang string, g_source string, " + ", ".join(f"{c} long" for c in rules.COUNTS))
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[:2], Counter())[r[9]] += 1
+    got = {(r.g_lang, r.g_source): r.ends["upper_rate"].high for r in rules.group_fences(counted).collect()}
+    assert got == plain_fences(groups) and len(set(got.values())) > 2
+
+
+def test_rules_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from qaprep.llm import sql
+
+    rng = random.Random(3)
+    rows = [
+        (i, prose(i, rng.randint(5, 60)) + rng.choice(["", "\n#$%&* <<>>" * rng.randint(1, 20), "\nsame line here" * rng.randint(2, 9), "! WHY? " * 30]),
+         rng.choice(["en", "en", "de", None]), rng.choice(["s1", "s2", None]))
+        for i in range(400)
+    ]
+    rows += rows[:5] + [(900, None, "en", "s1"), (901, "", None, None)]
+    path = str(tmp_path / "documents.parquet")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.write.parquet(path)
+    got = sorted(tuple(r) for r in queries.op5_rules(spark, str(tmp_path)).collect())
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        want = sorted(con.execute(sql.ORACLES["op5_rules"]).fetchall())
+    assert got == want and 0 < sum(r[7] for r in got) < sum(not r[6] for r in got)
+
+
 def test_buckets_are_narrow(spark):
     rows = spark.range(1, 5000).select("id", rules.bucket(F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id < r.b + max(1, r.b / 32 + 1) for r in rows)
