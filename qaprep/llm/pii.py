@@ -1,11 +1,12 @@
 """Information-theoretic sanitisation, with DataFrame functions only.
 
-Emails, IP addresses, cards and phone numbers are the protected entities. What
-else gives an entity away is read from the corpus: a term that stands near it
-in several different contexts, and hardly anywhere else, has a pointwise mutual
-information with it that comes close to the entity's own information. Terms
-beyond one threshold are generalised, beyond a higher one removed, in the texts
-that hold the entity.
+Emails, IP addresses, cards and phone numbers are the protected entities, each
+by itself and as a member of its group: the domain, the network, the issuer, the
+area code. What else gives an entity away is read from the corpus: a term that
+stands near it in several different contexts, and hardly anywhere else, has a
+pointwise mutual information with it that comes close to the entity's own
+information. Terms beyond one threshold are generalised to a category, beyond a
+higher one removed, in the texts that hold the entity or one of its group.
 """
 
 from __future__ import annotations
@@ -111,30 +112,52 @@ def _named(kind: str, spans: Column) -> Column:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """(entity, context, term): words around each entity of a text."""
+    """(entity, hash, context, term): words around each entity of a text."""
     one = found.select("hash", "text", F.explode(_all_entities()).alias("e"))
     before = F.expr("substring(text, greatest(e.start - 200, 0) + 1, least(e.start, 200))")
     after = F.expr("substring(text, e.end + 1, 200)")
     parts = lambda t: F.filter(F.split(F.lower(t), f"(?U)[^{WORD[1:-1]}]+"), lambda w: w != "")
     words = one.select(
-        "e.entity",
+        "hash", "e.entity",
         F.slice(F.reverse(parts(before)), 1, CONTEXT).alias("b"),
         F.slice(parts(after), 1, CONTEXT).alias("a"),
     )
     return words.select(
-        "entity", F.xxhash64("b", "a").alias("context"),
+        "entity", "hash", F.xxhash64("b", "a").alias("context"),
         F.explode(F.array_distinct(F.concat("b", "a"))).alias("term"),
     ).where((F.length("term") >= 3) & F.col("term").rlike(r"^\p{L}+$"))
 
 
+def _group(kind: str, value: Column) -> Column:
+    """What an entity shares with its neighbours: domain, network, issuer, area."""
+    figures = F.regexp_replace(value, "[^0-9]", "")
+    return {
+        "email": F.lower(F.regexp_extract(value, "@(.*)", 1)),
+        "ip": F.regexp_extract(value, r"^([0-9]+\.[0-9]+)\.", 1),
+        "card": F.substring(figures, 1, 6),
+        "phone": F.substring(figures, 1, 4),
+    }[kind]
+
+
 def _tagged(kind: str) -> Column:
-    return F.transform(
-        kind,
-        lambda s: F.struct(
-            F.concat_ws(":", F.lit(kind), F.lower(s["value"])).alias("entity"),
-            s["start"].alias("start"), s["end"].alias("end"),
-        ),
-    )
+    """The entity and its group for each span of a kind."""
+
+    def named(tag: str, value) -> Column:
+        return F.transform(
+            kind,
+            lambda s: F.struct(
+                F.concat_ws(":", F.lit(tag), value(s["value"])).alias("entity"),
+                s["start"].alias("start"), s["end"].alias("end"),
+            ),
+        )
+
+    return F.concat(named(kind, F.lower), named(f"{kind} group", lambda v: _group(kind, v)))
+
+
+def _words(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, term): the distinct words of each row, in small letters."""
+    parts = F.split(F.lower(F.col(text)), f"(?U)[^{WORD[1:-1]}]+")
+    return rows.select(*keys, F.explode(F.array_distinct(parts)).alias("term"))
 
 
 def disclosing_terms(documents: DataFrame, found: DataFrame, text: str) -> DataFrame:
@@ -153,25 +176,28 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, text: str) -> DataF
     total = F.lit(documents.count()).cast("double")
 
     def share(n_term: str) -> Column:
-        together = F.least("both", "n_entity", n_term)
-        mutual = F.log2(together * total / (F.col("n_entity") * F.col(n_term)))
+        mutual = F.log2(F.least("both", n_term) * total / (F.col("n_entity") * F.col(n_term)))
         return F.try_divide(mutual, F.log2(total / F.col("n_entity")))
 
-    def words(rows: DataFrame) -> DataFrame:
-        parts = F.split(F.lower(F.col(text)), f"(?U)[^{WORD[1:-1]}]+")
-        return rows.select(F.explode(F.array_distinct(parts)).alias("term"))
-
-    pairs = (
-        near.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("both"))
+    # Copies of a text are one context, but each of them is a document.
+    near = near.distinct()
+    contexts = (
+        near.select("entity", "term", "context").distinct()
+        .groupBy("entity", "term").agg(F.count("*").alias("contexts"))
         .where(F.col("contexts") >= CONTEXTS)
     )
-    least = words(found).groupBy("term").agg(F.count("*").alias("n_least"))
+    copies = found.groupBy("hash").agg(F.count("*").alias("copies"))
+    together = (
+        near.select("entity", "term", "hash").distinct().join(copies, "hash")
+        .groupBy("entity", "term").agg(F.sum("copies").alias("both"))
+    )
+    pairs = contexts.join(together, ["entity", "term"])
+    least = _words(found, text).groupBy("term").agg(F.count("*").alias("n_least"))
     pairs = write_table(
         pairs.join(least, "term").join(entities, "entity").where(share("n_least") >= GENERALISE), "pairs"
     )
     terms = write_table(pairs.select("term").distinct(), "terms")
-    everywhere = words(documents)
+    everywhere = _words(documents, text)
     if terms.count() <= LISTED_TERMS:
         everywhere = everywhere.join(F.broadcast(terms), "term", "left_semi")
     frequency = everywhere.groupBy("term").agg(F.count("*").alias("n_term"))
@@ -210,8 +236,12 @@ def sanitise(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     found = rows.where("hash is not null")
     disclosed = write_table(disclosing_terms(documents, found, "text"), "disclosed")
     held = found.select("hash", F.explode(F.array_distinct(F.transform(_all_entities(), lambda e: e["entity"]))).alias("entity")).distinct()
+    # A text's own words are looked up, so that a common entity with many terms
+    # does not send all of them to all of its texts.
     by_text = (
-        held.join(disclosed, "entity").groupBy("hash", "term").agg(F.max("share").alias("share"))
+        _words(found, "text", "hash").join(disclosed, "term")
+        .join(held, ["hash", "entity"], "left_semi")
+        .groupBy("hash", "term").agg(F.max("share").alias("share"))
         .groupBy("hash").agg(
             F.sort_array(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))).alias("gone"),
             F.sort_array(F.collect_list(F.when(F.col("share") < REMOVE, F.col("term")))).alias("vague"),
@@ -238,12 +268,21 @@ def _terms(column: str) -> Column:
 
 
 def _replaced() -> Column:
-    """The text with spans replaced; of overlapping spans the first one."""
-    labels = {k: f"[{k.upper()}]" for k in KINDS} | {"remove": "[REMOVED]", "generalise": "[TERM]"}
+    """The text with spans replaced; of overlapping spans the first one.
+
+    Entities become their kind, removed terms one mark, and generalised terms
+    what their letters show: an acronym, a name or a word.
+    """
+    labels = {k: (lambda v, k=k: F.lit(f"[{k.upper()}]")) for k in KINDS} | {
+        "remove": lambda v: F.lit("[REMOVED]"),
+        "generalise": lambda v: F.when(v.rlike(r"^\p{Lu}{2,}$"), "[ACRONYM]")
+        .when(v.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]"),
+    }
 
-    def labelled(kind: str, label: str) -> Column:
+    def labelled(kind: str, label) -> Column:
         return F.transform(
-            kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(label).alias("label"))
+            kind,
+            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s["value"]).alias("label")),
         )
 
     spans = F.array_sort(F.concat(*[labelled(k, v) for k, v in labels.items()]))

@@ -110,6 +110,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.joined(base), 256).alias("base_sha256"),
         pii.joined(base | {k: F.col(k) for k in ("generalise", "remove")}).alias("spans"),
+        # Texts without spans stay as they are and have no digest here.
+        F.sha2(F.col("sanitised").cast("binary"), 256).alias("sanitised_sha256"),
     )
 
 

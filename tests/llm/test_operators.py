@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import math
 import random
 import re
 import zlib
@@ -497,6 +498,64 @@ def test_terms_that_give_entities_away(spark, odd, none):
     assert pii.sanitise(none).count() == 0
 
 
+def test_terms_of_a_domain_are_those_of_plain_counts(spark):
+    """Each address stands once, so only their domain can tie a term to them."""
+    rng = random.Random(21)
+    common = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    some = lambda n: [rng.choice(common) for _ in range(n)]
+    rows = []
+    for i in range(300):
+        words = some(14)
+        if i % 10 == 0:
+            words += ["Quillon" if i % 20 else "QUILLON", f"u{i}@corp.example"] + some(8)
+        elif i % 25 == 0:
+            words += ["quillon", f"v{i}@other.example"] + some(8)
+        elif i % 30 == 1:
+            words += ["vexford"]
+        if i % 40 == 0:
+            words = some(9) + ["vexford", f"x{i}@corp.example"] + some(9)
+        rows.append((i, " ".join(words)))
+    rows += rows[:11]  # copies are documents, but no contexts of their own
+    entity = lambda w: w.split("@")[1] if "@" in w else None
+    n = len(rows)
+    texts = [t.split() for _, t in rows]
+    has_entity, has_term, both, contexts = Counter(), Counter(), Counter(), {}
+    for words in texts:
+        has_entity.update({entity(w) for w in words if "@" in w})
+        has_term.update(set(re.findall("[a-z0-9]+", " ".join(words).lower())))
+        near = set()
+        for i, w in enumerate(words):
+            if "@" in w:
+                before, after = words[max(0, i - 6) : i], words[i + 1 : i + 7]
+                for x in [v.lower() for v in before + after if v.isalpha()]:
+                    near.add((entity(w), x))
+                    contexts.setdefault((entity(w), x), set()).add((*before, "|", *after))
+        both.update(near)
+    share = {
+        (e, t): math.log2(both[e, t] * n / (has_entity[e] * has_term[t])) / math.log2(n / has_entity[e])
+        for e, t in both if len(contexts[e, t]) >= 3
+    }
+    want = {k: s for k, s in share.items() if s >= 0.6}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.sanitise(df).collect()
+    assert {t for _, t in want} >= {"quillon"} and len(want) >= 2
+    for r in found:
+        words = rows[r.doc_id][1].split()
+        held = {entity(w) for w in words if "@" in w}
+        best: dict = {}
+        for (e, t), s in want.items():
+            if e in held and t in [w.lower() for w in words]:
+                best[t] = max(s, best.get(t, 0))
+        assert {s.value.lower() for s in r.remove} == {t for t, s in best.items() if s >= 0.8}
+        assert {s.value.lower() for s in r.generalise} == {t for t, s in best.items() if s < 0.8}
+        if r.sanitised is not None:
+            assert "example" not in r.sanitised
+        for s in r.generalise:
+            mark = "[ACRONYM]" if s.value.isupper() else "[NAME]" if s.value[0].isupper() else "[WORD]"
+            assert mark in r.sanitised
+    assert any(r.generalise for r in found)
+
+
 def test_an_entity_of_all_documents_discloses_nothing(spark):
     rows = [(i, f"{prose(i, 9)} zyxwvut writes from boss@corp.example {prose(50 + i, 9)}") for i in range(5)]
     found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
