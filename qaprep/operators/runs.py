@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from qaprep.operators.running import (
     ROWS_PER_CHUNK,
@@ -18,6 +19,8 @@ from qaprep.operators.running import (
 
 SEED_PATTERN = r"^(.*)_seed(\d+)$"
 FRONTIER_CHUNKS = 256
+#: Leading bits that a latency in microseconds keeps in a quantile sketch.
+SKETCH_BITS = 8
 
 
 def _direction(metric: str, greater: bool) -> Column:
@@ -258,3 +261,55 @@ def latency_summary(
     return df.groupBy(*by).agg(
         F.avg(latency).alias("avg_latency"), F.count(latency).alias("n_runs")
     )
+
+
+def latency_sketch(
+    df: DataFrame, by: Sequence[str] = ("run",), latency: str = "latency"
+) -> DataFrame:
+    """`(by, bucket, n)`: how many latencies lie in each bucket, in microseconds.
+
+    Sketches of the same groups are merged by adding the counts of equal
+    buckets. Values that are NULL, NaN or beyond 64 bits are no measurements.
+    """
+    micros = F.expr("try_cast(_seconds * 1000000 AS bigint)")
+    known = df.withColumn("_seconds", F.nanvl(F.col(latency).cast("double"), F.lit(None).cast("double")))
+    size = F.abs("_micros")
+    dropped = F.greatest(F.length(F.bin(size)) - SKETCH_BITS, F.lit(0))
+    unit = F.pow(F.lit(2.0), dropped).cast("bigint")
+    rows = known.select(*by, micros.alias("_micros")).filter(F.col("_micros").isNotNull())
+    bucket = F.signum("_micros").cast("bigint") * (size - size % unit)
+    return rows.groupBy(*by, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def sketch_quantiles(
+    sketch: DataFrame, by: Sequence[str] = ("run",), percents: Sequence[int] = (50, 95)
+) -> DataFrame:
+    """Per group `n_runs` and `p<percent>`, in seconds.
+
+    A percentile is the smallest bucket that this share of the values does not
+    exceed. It is nearer to zero than the value of that rank by less than one
+    part in 128, or one microsecond.
+    """
+    merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(*by)
+    ranked = merged.select(
+        *by,
+        "bucket",
+        F.sum("n").over(group.orderBy("bucket")).alias("_upto"),
+        F.sum("n").over(group).alias("_all"),
+    )
+    reached = [
+        F.min(F.when(F.col("_upto") * 100 >= F.col("_all") * p, F.col("bucket") / 1_000_000)).alias(f"p{p}")
+        for p in percents
+    ]
+    return ranked.groupBy(*by).agg(F.max("_all").alias("n_runs"), *reached)
+
+
+def latency_percentiles(
+    df: DataFrame,
+    by: Sequence[str] = ("run",),
+    latency: str = "latency",
+    percents: Sequence[int] = (50, 95),
+) -> DataFrame:
+    """Percentiles of each group's latencies from a sketch; see `sketch_quantiles`."""
+    return sketch_quantiles(latency_sketch(df, by, latency), by, percents)

@@ -669,6 +669,20 @@ FROM documents p LEFT JOIN (
     "mean_loss": f"""WITH {TRAIN_LOG}
 SELECT run, step // 100 AS epoch, round(avg(loss), 6) AS mean_loss
 FROM train_log GROUP BY 1, 2""",
+    "latency_percentiles": """WITH m AS (
+  SELECT event_type AS run, trunc(value * 1000000)::BIGINT AS v FROM events WHERE value IS NOT NULL
+), b AS (
+  SELECT run, CASE WHEN abs(v) < 256 THEN v
+              ELSE sign(v) * (abs(v) - abs(v) % (1 << (length(bin(abs(v))) - 8))) END AS bucket, count(*) AS n
+  FROM m GROUP BY 1, 2
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY run ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY run) AS total FROM b)
+SELECT run, max(total)::BIGINT AS n_runs, round(min(bucket) FILTER (upto * 100 >= total * 50) / 1000000, 6) AS p50,
+       round(min(bucket) FILTER (upto * 100 >= total * 95) / 1000000, 6) AS p95 FROM c GROUP BY run""",
+    "zip_by_position": """SELECT row_number() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) - 1 AS position,
+       doc_id::VARCHAR AS named, md5(coalesce(text, '')) AS digest FROM documents""",
+    "metrics_log_repeated": f"""WITH {RUN_METRICS} SELECT 'run' || run AS run,
+       unnest(['latency', 'rougeL']) AS metric, round(unnest([latency, rougel]), 6) AS value FROM run_metrics""",
     "latency_summary": """SELECT event_type AS run, round(avg(value), 6) AS avg_latency,
        count(value) AS n_runs FROM events GROUP BY 1""",
     "running_best": running_best(greater=True),

@@ -289,6 +289,17 @@ def zip_pairs(spark, sf_dir):
     )
 
 
+def zip_by_position(spark, sf_dir):
+    documents = tables.table(spark, sf_dir, "documents")
+    rows = documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    sides = []
+    for name in ("doc_id", "digest"):
+        path = scratch_path(spark, name)
+        rows.orderBy("doc_id", "digest").select(F.col(name).cast("string")).write.text(path)
+        sides.append(readers.read_numbered_lines(spark, path))
+    return align.zip_by_position(*sides, ("named", "digest"))
+
+
 def append_column(spark, sf_dir):
     raw = tables.raw_qa(spark, sf_dir).select("row_id")
     scores = _rounded(evaluate_rows(tables.predictions(spark, sf_dir)), "bleu_score")
@@ -442,6 +453,13 @@ def latency_summary(spark, sf_dir):
     return _rounded(runs.latency_summary(events), "avg_latency")
 
 
+def latency_percentiles(spark, sf_dir):
+    events = tables.table(spark, sf_dir, "events").withColumnsRenamed(
+        {"event_type": "run", "value": "latency"}
+    )
+    return _rounded(runs.latency_percentiles(events), "p50", "p95")
+
+
 # Batch scoring
 
 
@@ -625,6 +643,16 @@ def parquet_round_trip(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", "target", "split")
 
 
+def metrics_log_repeated(spark, sf_dir):
+    path = scratch_path(spark, "log")
+    metrics = tables.run_metrics(spark, sf_dir)
+    named = metrics.select(F.concat(F.lit("run"), F.col("run").cast("string")).alias("run"), "latency", "rougeL")
+    for commit in ("first", "second", "first"):
+        part = F.col("run").endswith("1") if commit == "first" else ~F.col("run").endswith("1")
+        writers.append_metrics(named.filter(part), path, commit)
+    return _rounded(writers.read_metrics_log(spark, path), "value")
+
+
 def metrics_log(spark, sf_dir):
     path = scratch_path(spark, "log")
     metrics = tables.run_metrics(spark, sf_dir)
@@ -721,6 +749,7 @@ QUERIES: dict[str, Query] = {
     "evaluate_stemmed": _evaluate(stem=True),
     "mean_loss": mean_loss,
     "latency_summary": latency_summary,
+    "latency_percentiles": latency_percentiles,
     "running_best": running_best,
     "running_best_lower": running_best_lower,
     "early_stop": early_stop,
@@ -731,6 +760,7 @@ QUERIES: dict[str, Query] = {
     "pareto": pareto,
     "pareto_by_group": pareto_by_user_group,
     "zip_pairs": zip_pairs,
+    "zip_by_position": zip_by_position,
     "append_column": append_column,
     "stack_splits": stack_splits,
     "batch_score": batch_score,
@@ -753,4 +783,5 @@ QUERIES: dict[str, Query] = {
     "metrics_round_trip": metrics_round_trip,
     "parquet_round_trip": parquet_round_trip,
     "metrics_log": metrics_log,
+    "metrics_log_repeated": metrics_log_repeated,
 }

@@ -8,9 +8,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window as W
 
 from qaprep.functions.prompts import column_prompt
 from qaprep.functions.text import clean_text, strip
+from qaprep.session import scratch_path
 
 METRICS_FILE = "eval_metrics.json"
 
@@ -93,6 +95,28 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return lines.filter(F.length("input") > 0)
 
 
+def read_numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines as `read_lines` gives them, with their `position` from 0.
+
+    Files come in the order of their names, so a folder written from a sorted
+    table keeps its order. Each part of a file counts its own lines; how many
+    come before a part is summed over a table with one row per part. The lines
+    are written once, so that both steps see the same parts.
+    """
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    )
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("input"), place.alias("part"))
+    saved = scratch_path(spark, "numbered")
+    # Within a part these ids grow by one with each line.
+    lines.filter(F.length("input") > 0).withColumn("id", F.monotonically_increasing_id()).write.parquet(saved)
+    rows = spark.read.parquet(saved)
+    parts = rows.groupBy("part").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", (earlier - F.col("first")).alias("offset"))
+    return rows.join(offsets, "part").select((F.col("id") + F.col("offset")).alias("position"), "input")
+
+
 def _joined(name: str) -> Column:
     """A JSON field that holds a text or a list of texts, as one text."""
     value = F.variant_get(F.col("item"), f"$.{name}", "string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +43,12 @@ def write_parquet(
     df.write.mode(mode).partitionBy(*partition).parquet(path)
 
 
-def append_metrics(df: DataFrame, path: str) -> None:
+def append_metrics(df: DataFrame, path: str, commit: str | None = None) -> None:
     """Append a wide row per run to the log as `(run, metric, value)` rows.
 
     Values are stored under their metric's name, so runs with other metrics can
-    share one log.
+    share one log. Rows of one `commit` lie in a folder of their own, which a
+    repeated append replaces; without a commit each append adds rows.
     """
     names = [c for c in df.columns if c != "run"]
     pairs = F.array(
@@ -55,9 +57,14 @@ def append_metrics(df: DataFrame, path: str) -> None:
             for c in names
         ]
     )
-    df.select("run", F.inline(pairs)).write.mode("append").parquet(path)
+    rows = df.select("run", F.inline(pairs)).write
+    if commit is None:
+        rows.mode("append").parquet(path)
+    else:
+        folder = f"commit-{hashlib.sha256(commit.encode()).hexdigest()}"
+        rows.mode("overwrite").parquet(f"{path.rstrip('/')}/{folder}")
 
 
 def read_metrics_log(spark: SparkSession, path: str) -> DataFrame:
     """The log that `append_metrics` writes."""
-    return spark.read.schema(METRICS_SCHEMA).parquet(path)
+    return spark.read.schema(METRICS_SCHEMA).option("recursiveFileLookup", True).parquet(path)

@@ -258,3 +258,28 @@ def test_equal_rows_have_one_result(spark):
 def test_an_empty_log(spark):
     df = spark.createDataFrame([], "run string, step long, metric double, ts_s double")
     assert runs.running_best(df).count() == runs.early_stop(df, 3).count() == runs.step_profile(df).count() == 0
+
+
+def test_latency_percentiles_are_near_the_exact_ones(spark):
+    rng = random.Random(8)
+    sizes = {"hot": 3000, "one": 1, "few": 7}
+    rows = [(run, rng.lognormvariate(0, 4) * rng.choice([1, 1, -1])) for run, n in sizes.items() for _ in range(n)]
+    odd = [("hot", None), ("hot", float("nan")), ("hot", float("inf")), ("none", None), (None, 2.0)]
+    df = spark.createDataFrame(rows + odd, "run string, latency double")
+    found = {r.run: r for r in runs.latency_percentiles(df, percents=(1, 50, 95, 100)).collect()}
+    assert set(found) == {"hot", "one", "few", None} and found[None].p50 == pytest.approx(2, rel=1 / 128)
+    for run, size in sizes.items():
+        values = sorted(v for r, v in rows if r == run)
+        assert found[run].n_runs == size
+        for p in (1, 50, 95, 100):
+            exact = values[-(-size * p // 100) - 1]
+            assert abs(found[run][f"p{p}"] - exact) <= abs(exact) / 128 + 1e-6
+            assert abs(found[run][f"p{p}"]) <= abs(exact)
+
+
+def test_latency_sketches_add_up(spark):
+    df = spark.range(5000).selectExpr("id % 3 AS run", "id / 7 AS latency", "id")
+    halves = [runs.latency_sketch(df.filter(F.col("id") % 2 == k)) for k in (0, 1)]
+    merged = runs.sketch_quantiles(halves[0].union(halves[1])).collect()
+    assert sorted(merged) == sorted(runs.latency_percentiles(df).collect())
+    assert runs.latency_percentiles(df.limit(0)).count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qaprep.functions import prompts
-from qaprep.operators import runs
+from qaprep.operators import align, runs
 from qaprep.sources import readers, writers
 
 RAW = "query string, title string, abstract string, label string"
@@ -159,3 +159,38 @@ def test_column_prompt_skips_columns_the_table_lacks(spark):
     text = df.select(prompts.column_prompt(df, ("query", "abstract", "title")))
     assert text.first()[0] == "Question: Q Title: T"
     assert df.select(F.lit(1)).first()[0] == 1
+
+
+def test_lines_keep_their_position_over_files_and_parts(spark, tmp_path):
+    """Several files, each cut into many parts, with blank lines and no last line break."""
+    wanted = []
+    for name in ("a", "b", "c", "d"):
+        lines = [f"{name}{i} " + "x" * (i % 50) for i in range(400 if name == "b" else 90)]
+        wanted += [x.strip() for x in lines]
+        (tmp_path / f"{name}.txt").write_text("\n \n".join(lines) + ("\n" if name < "c" else ""))
+    (tmp_path / "c0.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        numbered = readers.read_numbered_lines(spark, str(tmp_path))
+        got = sorted((r.position, r.input) for r in numbered.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == list(enumerate(wanted))
+    shorter = numbered.filter("position < 7").withColumn("input", F.upper("input"))
+    zipped = align.zip_by_position(numbered, shorter, ("one", "two")).collect()
+    assert sorted(tuple(r) for r in zipped) == [(i, x, x.upper()) for i, x in enumerate(wanted[:7])]
+
+
+def test_a_repeated_commit_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    part = lambda *rows: spark.createDataFrame(list(rows), "run string, bleu double")
+    read = lambda: sorted(tuple(r) for r in writers.read_metrics_log(spark, path).collect())
+    writers.append_metrics(part(("x", 1.0)), path)
+    writers.append_metrics(part(("y", 2.0)), path, "eval/7 %+")
+    once = read()
+    writers.append_metrics(part(("y", 2.0)), path, "eval/7 %+")
+    assert read() == once == [("x", "bleu", 1.0), ("y", "bleu", 2.0)]
+    writers.append_metrics(part(("y", 3.0)), path, "eval/7 %+")
+    writers.append_metrics(part(("z", 4.0)), path, "other")
+    assert read() == [("x", "bleu", 1.0), ("y", "bleu", 3.0), ("z", "bleu", 4.0)]
