@@ -6,8 +6,11 @@ benchmark and of the documents are hashed under several masks and joined on
 mask and hash. Around each hit the two texts are compared word by word along
 the same diagonal, and the best stretch must be long and alike enough.
 
-Documents are read in place and never moved: the benchmark's hashes go to the
-tasks, in blocks of bounded size, one scan for each block.
+Documents are not shuffled: the benchmark's hashes go to the tasks, in blocks of
+bounded size. A benchmark of one block is one scan. For more, documents are
+written once with a number, each block is a job of its own that writes what it
+finds, and findings are brought back by number. So neither the driver nor a task
+holds more than one block, however large the benchmark.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from qaprep.llm.common import append_columns, text_bytes
+from qaprep.llm.common import append_columns, text_bytes, write_table
+from qaprep.session import scratch_path
 
 # Windows of nine places, six of them looked at.
 MASKS = ("111010011", "110101101", "101100111", "111001101")
@@ -44,6 +48,9 @@ HITS = 1 << 20
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FACTORS = np.random.default_rng(41).integers(1, 1 << 63, SPAN, np.uint64) | np.uint64(1)
 _SHIFT = np.uint64(42)
+#: How the words of an item are kept in a table.
+_WORD, _WORD_BYTES = np.dtype("<u4"), 4
+_ROW = "__leak_row"
 
 
 def tokens(text: bytes) -> np.ndarray:
@@ -150,14 +157,10 @@ def with_leaks(
     with the stretch in words and how many of them are equal. Benchmark rows
     with equal words count as one, under their smallest id; rows without text or
     with fewer than SHORTEST words match nothing. NULL and empty documents and
-    an empty benchmark give empty arrays. A column named leaks is replaced.
+    an empty benchmark give empty arrays. Entries are in the order of their
+    fields. A column named leaks is replaced.
     """
     kind = benchmark.schema[item_id].dataType
-    items = benchmark.where(F.col(item_text).isNotNull()).groupBy(F.col(item_text).alias("text")).agg(
-        F.min(item_id).alias("id")
-    )
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, math.ceil(size / BLOCK_WORDS))
     entry = T.StructType(
         [
             T.StructField("item_id", kind),
@@ -166,27 +169,45 @@ def with_leaks(
             T.StructField("matched", T.IntegerType()),
         ]
     )
-    out, names = documents, []
+    items = write_table(distinct_items(benchmark, item_id, item_text), "benchmark")
+    words = (items.agg(F.sum(F.length("words"))).first()[0] or 0) // _WORD_BYTES
+    blocks = math.ceil(words / BLOCK_WORDS)
+    if blocks <= 1:
+        found = _scan_block(documents, text, items, entry)
+        return found.withColumn("leaks", F.array_sort("leaks"))
+    numbered = write_table(documents.drop("leaks").withColumn(_ROW, F.monotonically_increasing_id()), "documents")
+    path = scratch_path(documents.sparkSession, "leaks")
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
-        by_words: dict[bytes, tuple] = {}
-        for r in rows:
-            words = tokens(r.text.encode())
-            key = words.tobytes()
-            known = by_words.get(key)
-            if known is None or (r.id is not None and (known[1] is None or r.id < known[1])):
-                by_words[key] = (words, r.id)
-        texts, ids = [w for w, _ in by_words.values()], [i for _, i in by_words.values()]
-        names.append(f"__leaks_{block}")
-        out = _scan_block(out, text, names[-1], texts, ids, entry)
-    leaks = F.concat(*names) if names else F.array()
-    return out.drop("leaks").withColumn("leaks", leaks).drop(*names)
-
-
-def _scan_block(
-    df: DataFrame, text: str, name: str, texts: list[np.ndarray], ids: list, entry: T.StructType
-) -> DataFrame:
+        part = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        found = _scan_block(numbered.select(_ROW, text), text, part, entry)
+        found.select(_ROW, F.explode("leaks").alias("leak")).write.mode("append").parquet(path)
+    every = documents.sparkSession.read.schema(T.StructType([numbered.schema[_ROW], T.StructField("leak", entry)])).parquet(path)
+    leaks = every.groupBy(_ROW).agg(F.array_sort(F.collect_list("leak")).alias("leaks"))
+    joined = numbered.join(leaks, _ROW, "left").drop(_ROW)
+    return joined.withColumn("leaks", F.coalesce("leaks", F.array().cast(T.ArrayType(entry))))
+
+
+def distinct_items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(words, id): the distinct token sequences of a benchmark that can match."""
+
+    def make():
+        def compute(texts: pa.Array) -> list:
+            return [pa.array([tokens(t).astype(_WORD).tobytes() for t in text_bytes(texts)], pa.binary())]
+
+        return compute
+
+    given = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    coded = append_columns(given, "text", [T.StructField("words", T.BinaryType())], make)
+    worth = coded.where(F.length("words") >= SHORTEST * _WORD_BYTES)
+    return worth.groupBy("words").agg(F.min("id").alias("id"))
+
+
+def _scan_block(df: DataFrame, text: str, items: DataFrame, entry: T.StructType) -> DataFrame:
+    """df with `leaks` of the items, which must fit into the driver and a task."""
     arrow = pa.list_(to_arrow_type(entry))
+    rows = items.collect()
+    texts = [np.frombuffer(r.words, _WORD).astype(np.uint64) for r in rows]
+    ids = [r.id for r in rows]
 
     def make():
         index = Index(texts)
@@ -203,4 +224,4 @@ def _scan_block(
 
         return compute
 
-    return append_columns(df, text, [T.StructField(name, T.ArrayType(entry))], make)
+    return append_columns(df, text, [T.StructField("leaks", T.ArrayType(entry))], make)

@@ -397,6 +397,57 @@ def test_blocks_give_the_same(spark, monkeypatch, benchmark):
     assert [sorted(r.leaks) for r in once] == [sorted(r.leaks) for r in again]
 
 
+def plain_leaks(document: str, items: list) -> set:
+    """(item_id, matched) of each item whose best stretch on any diagonal is good."""
+    words = decontaminate.tokens((document or "").encode()).tolist()
+    found = set()
+    for number, item in items:
+        least = min(decontaminate.LEAST_WORDS, len(item))
+        best = None
+        for shift in range(-len(item) + 1, len(words)):
+            lo, hi = max(0, shift), min(len(words), shift + len(item))
+            same = [words[k] == item[k - shift] for k in range(lo, hi)]
+            top = (0.0, 0, 0)
+            for i in range(len(same)):
+                total = 0.0
+                for j in range(i, len(same)):
+                    total += 0.2 if same[j] else -0.8
+                    if total > top[0] + 1e-9:
+                        top = (total, i, j + 1)
+            equal = sum(same[top[1] : top[2]])
+            if top[2] - top[1] >= least and equal >= 0.8 * (top[2] - top[1]) and equal > (best or 0):
+                best = equal
+        if best:
+            found.add((number, best))
+    return found
+
+
+def test_leaks_are_those_of_every_diagonal(spark, monkeypatch):
+    """Against all diagonals of all texts, in one block and in many."""
+    rng = random.Random(31)
+    items = [(i, prose(500 + i, rng.randint(14, 28))) for i in range(10)]
+    items += [(50, "  " + items[2][1].upper().replace(" ", "\n ")), (51, None), (52, "too short"), (None, items[3][1])]
+    texts = []
+    for i in range(60):
+        item = rng.choice(items[:10])[1].split()
+        one = i % 3 == 0
+        swapped = [("zz" if one and k % 12 == 7 else w) for k, w in enumerate(item)]
+        cut = swapped if i % 4 else swapped[: rng.randint(3, len(swapped))]
+        texts.append(" ".join([prose(900 + i, 15), *cut, prose(990 + i, 15)]))
+    texts += [texts[0], None, "", "word"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("leaks", F.lit(1))
+    benchmark = spark.createDataFrame(items, "item_id int, text string")
+    coded = [(i, decontaminate.tokens(t.encode()).tolist()) for i, t in items[:10]]
+    once = {r.doc_id: r.leaks for r in decontaminate.with_leaks(df, benchmark).collect()}
+    assert len(once) == len(texts)
+    for i, t in enumerate(texts):
+        assert {(x.item_id, x.matched) for x in once[i]} == plain_leaks(t, coded)
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    many = decontaminate.with_leaks(df, benchmark)
+    assert many.columns == ["doc_id", "text", "leaks"]
+    assert {r.doc_id: r.leaks for r in many.collect()} == once
+
+
 # Passages
 
 
