@@ -6,8 +6,8 @@ benchmark and of the documents are hashed under several masks and joined on
 mask and hash. Around each hit the two texts are compared word by word along
 the same diagonal, and the best stretch must be long and alike enough.
 
-Documents are not shuffled: the benchmark's hashes go to the tasks, in blocks of
-bounded size. A benchmark of one block is one scan. For more, documents are
+The benchmark's hashes go to the tasks, in blocks of bounded size. A benchmark of
+one block is one scan that shuffles no documents. For more, documents are
 written once with a number, each block is a job of its own that writes what it
 finds, and findings are brought back by number. So neither the driver nor a task
 holds more than one block, however large the benchmark.
