@@ -3,7 +3,9 @@
 Rows are ordered by the MD5 of seed and key, never by position, so a split does
 not depend on files, partitions or engine. Exact sizes come from a count per
 hash bucket: the rank of a row is settled by its bucket except in the one
-bucket where a cut falls, and only that bucket's rows are sorted.
+bucket where a cut falls. Only that bucket's rows are sorted; a large one, as a
+frequent key makes, is first cut again by more digits of the hash, then by the
+rows' content.
 """
 
 from __future__ import annotations
@@ -14,9 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from qaprep.session import scratch_path
+
 SPLITS = ("train", "validation", "test")
 SPLIT_MODES = ("hash", "exact", "floor")
 HASHES = 1 << 32
+#: A bucket of at most this many rows is sorted by one task.
+SORTED_ROWS = 1_000_000
+#: Tables of at most this many groups go to every task.
+BROADCAST_ROWS = 100_000
+#: How often rows of a larger table are repeated for a join.
+SALTS = 32
 
 
 def hash_hex(df: DataFrame, key: str, seed: int) -> Column:
@@ -91,10 +101,15 @@ def _with_rank_flags(
     key: str,
     seed: int,
     cuts: Mapping[str, Column],
+    sorted_rows: int = SORTED_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Flag the rows whose rank in hash order, by group, is within each cut.
 
-    A cut is a number of rows, as a column over the group's size `_rows`.
+    A cut is a number of rows, as a column over the group's size `_rows`. The
+    bucket of a cut is cut again by finer digits of the order while it has more
+    than `sorted_rows` rows, so a key that a third of all rows share is not
+    sorted by one task. The buckets of the cuts are counted when this is called.
     """
     by = list(by)
     # Only rows that are equal in all columns are told apart by their place, and
@@ -104,46 +119,111 @@ def _with_rank_flags(
             "_hash": hash_hex(df, key, seed),
             "_tie": F.struct(_content(df).alias("c"), F.monotonically_increasing_id().alias("i")),
         }
-    ).withColumn("_bucket", F.substring("_hash", 1, 4))
-    # At most 16^4 buckets a group, counted before the shuffle.
-    sizes = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_in_bucket"))
-    group = W.partitionBy(*by)
-    upto = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cumulated = sizes.withColumns(
-        {"_upto": F.sum("_in_bucket").over(upto), "_rows": F.sum("_in_bucket").over(group)}
     )
-    edges = F.array(
-        *[F.struct(F.lit(f).alias("_flag"), c.alias("_cut")) for f, c in cuts.items()]
-    )
-    before = F.col("_upto") - F.col("_in_bucket")
-    edge = cumulated.select(
-        *[F.col(c).alias(f"_of_{c}") for c in by],
-        F.col("_bucket").alias("_edge"),
-        "_upto",
-        "_in_bucket",
-        F.inline(edges),
-    ).filter((before < F.col("_cut")) & (F.col("_cut") <= F.col("_upto")))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
-    # Without groups there is one edge per cut, so it can go to every task.
-    edge = edge if by else F.broadcast(edge)
+    digits = _digits()
+    edge, groups, largest = _sized(_first_edge(hashed, by, digits[0], cuts), "edge")
     # Of the rows only what decides their rank goes through the first passes.
-    slim = hashed.select(*by, "_hash", "_tie", "_bucket")
-    near = slim.join(edge, [*same, F.col("_bucket") == F.col("_edge")])
+    slim = hashed.select(*by, "_hash", "_tie")
+    near = _at_edge(slim, edge, by, digits[0], groups <= broadcast_rows)
+    for digit in digits[1:]:
+        if largest <= sorted_rows:
+            break
+        near = _kept(near, "near")
+        edge, groups, largest = _sized(_next_edge(near, by, digit), "edge")
+        rows = near.drop("_left")
+        near = _at_edge(rows, edge, [*by, "_flag"], digit, groups <= broadcast_rows)
     place = F.row_number().over(W.partitionBy("_flag", *by).orderBy("_hash", "_tie"))
     row = F.struct(F.col("_hash").alias("h"), F.col("_tie").alias("t"))
-    last = near.withColumn("_place", place).filter(
-        F.col("_place") == F.col("_cut") - before
-    )
-    limits = last.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(
-        *[F.max(F.when(F.col("_flag") == f, row)).alias(f) for f in cuts]
-    )
+    last = near.withColumn("_place", place).filter(F.col("_place") == F.col("_left"))
+    limits = last.groupBy(*by).agg(*[F.max(F.when(F.col("_flag") == f, row)).alias(f) for f in cuts])
     if by:
-        limited = hashed.join(limits, same, "left").drop(*[f"_of_{c}" for c in by])
+        limited = _with_group(hashed, limits, by, groups <= broadcast_rows)
     else:
         limit = limits.select(F.struct(*cuts)).scalar()
         limited = hashed.withColumn("_limit", limit).select("*", "_limit.*").drop("_limit")
     flags = {f: F.coalesce(row <= F.col(f), F.lit(False)) for f in cuts}
-    return limited.withColumns(flags).drop("_hash", "_tie", "_bucket")
+    return limited.withColumns(flags).drop("_hash", "_tie")
+
+
+def _digits() -> list[Column]:
+    """Buckets from coarse to fine; each follows the order of hash and tie.
+
+    The last one is the part of the table that a row stands in, which only rows
+    that are equal in all columns need.
+    """
+    content = F.col("_tie.c")
+    return [
+        F.substring("_hash", 1, 4),
+        F.col("_hash"),
+        F.substring(content, 1, 5),
+        content,
+        F.shiftright("_tie.i", 33),
+    ]
+
+
+def _first_edge(hashed: DataFrame, by: list[str], digit: Column, cuts: Mapping[str, Column]) -> DataFrame:
+    """(by, _flag, _digit, _left, _size): the bucket in which each cut falls, how
+    many of its rows the cut takes and how many it has."""
+    # At most 16^4 buckets a group, counted before the shuffle.
+    sizes = hashed.groupBy(*by, digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_size"))
+    group = W.partitionBy(*by)
+    upto = group.orderBy("_digit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cumulated = sizes.withColumns(
+        {"_upto": F.sum("_size").over(upto), "_rows": F.sum("_size").over(group)}
+    )
+    edges = F.array(*[F.struct(F.lit(f).alias("_flag"), c.cast("bigint").alias("_cut")) for f, c in cuts.items()])
+    listed = cumulated.select(*by, "_digit", "_size", "_upto", F.inline(edges))
+    return _holding(listed, by)
+
+
+def _next_edge(near: DataFrame, by: list[str], digit: Column) -> DataFrame:
+    """As `_first_edge`, for the rows of the buckets found before."""
+    sizes = near.groupBy(*by, "_flag", "_left", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_size"))
+    upto = W.partitionBy(*by, "_flag").orderBy("_digit").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return _holding(sizes.withColumnRenamed("_left", "_cut").withColumn("_upto", F.sum("_size").over(upto)), by)
+
+
+def _holding(listed: DataFrame, by: list[str]) -> DataFrame:
+    before = F.col("_upto") - F.col("_size")
+    holds = (before < F.col("_cut")) & (F.col("_cut") <= F.col("_upto"))
+    return listed.filter(holds).select(*by, "_flag", "_digit", (F.col("_cut") - before).alias("_left"), "_size")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _sized(edge: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """The written table, its number of rows and the size of its largest bucket."""
+    kept = _kept(edge, name)
+    n, largest = kept.agg(F.count(F.lit(1)), F.max("_size")).first()
+    return kept.drop("_size"), n, largest or 0
+
+
+def _at_edge(rows: DataFrame, edge: DataFrame, on: list[str], digit: Column, small: bool) -> DataFrame:
+    """Rows that lie in a bucket of the edge, with its `_flag` and `_left`."""
+    named = rows.withColumn("_digit", digit)
+    return _with_group(named, edge, [*on, "_digit"], small, "inner").drop("_digit")
+
+
+def _with_group(rows: DataFrame, table: DataFrame, on: list[str], small: bool, how: str = "left") -> DataFrame:
+    """rows with the columns of a table that has few rows for each group.
+
+    A table that is not small is joined by a shuffle; its rows are repeated so
+    that a large group spreads.
+    """
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in on]
+    named = table.withColumnsRenamed({c: f"_of_{c}" for c in on})
+    if small:
+        joined = rows.join(F.broadcast(named), same, how)
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_of_salt")
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_hash", "_tie"), F.lit(SALTS)))
+        repeated = named.select("*", salts)
+        joined = salted.join(repeated, [*same, F.col("_salt") == F.col("_of_salt")], how).drop("_salt", "_of_salt")
+    return joined.drop(*[f"_of_{c}" for c in on])
 
 
 def cap_per_group(

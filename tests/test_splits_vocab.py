@@ -233,3 +233,41 @@ def test_rows_of_one_key_are_encoded_apart(spark):
     assert sorted(len(r["input_ids"]) for r in encoded.collect()) == [2, 2]
     back = vocab.decode(encoded, words, 10, ids="input_ids").collect()
     assert sorted(r["text"] for r in back) == ["a b", "c d"]
+
+
+@pytest.fixture(scope="module")
+def hot_key(spark):
+    """Two of three rows share a key; of these a third are equal in all columns."""
+    number = F.when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id"))
+    key = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("hot")
+    team = F.when(F.col("id") % 5 == 0, F.lit(None)).otherwise((F.col("id") % 2).cast("string"))
+    return spark.range(0, 6000, 1, 6).select(key.alias("key"), number.alias("n"), team.alias("team"))
+
+
+@pytest.mark.parametrize("by", [[], ["team"]])
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_cutting_buckets_again_takes_the_same_rows(hot_key, by, broadcast_rows):
+    cuts = {
+        "_first": F.floor(F.col("_rows") * 0.4),
+        "_second": F.floor(F.col("_rows") * 0.9),
+        "_none": F.lit(0),
+        "_all": F.col("_rows"),
+    }
+
+    def taken(sorted_rows, broadcast_rows):
+        flagged = splits._with_rank_flags(hot_key, by, "key", 42, cuts, sorted_rows, broadcast_rows)
+        return sorted(map(repr, flagged.collect()))
+
+    # With no bucket small enough, every digit is used.
+    assert taken(0, broadcast_rows) == taken(10**9, 1000)
+
+
+def test_sizes_are_exact_when_one_key_holds_most_rows(hot_key):
+    flagged = splits._with_rank_flags(hot_key, ["team"], "key", 1, {"_kept": F.lit(500)}, 50, 0)
+    counts = {r["team"]: r["count"] for r in flagged.filter("_kept").groupBy("team").count().collect()}
+    assert counts == {None: 500, "0": 500, "1": 500}
+
+
+def test_selection_of_an_empty_table(hot_key):
+    assert splits.sample_n(hot_key.limit(0), 5, "key").count() == 0
+    assert splits.cap_per_group(hot_key.limit(0), "team", 5, "key").count() == 0
