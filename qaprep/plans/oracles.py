@@ -742,6 +742,7 @@ SELECT row_id, string_split(abstract, '. ')[1] AS prediction FROM cleaned""",
     "scores_to_columns": """SELECT doc_id AS row_id, quality::DOUBLE AS entailment,
        0.0::DOUBLE AS neutral, toxic::DOUBLE AS contradiction FROM labels""",
     "csv_round_trip": f"WITH {RAW} SELECT row_id, query, title, abstract, label FROM raw_qa",
+    "csv_split_round_trip": f"WITH {RAW} SELECT row_id, query, title, abstract, label FROM raw_qa",
     "with_defaults": f"""WITH {RAW} SELECT row_id, coalesce(title, '') AS title,
        '' AS reference, 0.0::DOUBLE AS latency FROM raw_qa""",
     "read_lines": f"""SELECT input, count(*) AS n FROM (

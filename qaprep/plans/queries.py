@@ -513,11 +513,14 @@ def scores_to_columns(spark, sf_dir):
 # Sources and sinks: each query writes a given table and reads it back
 
 
-def csv_round_trip(spark, sf_dir):
-    path = scratch_path(spark, "csv")
-    writers.write_csv(tables.raw_qa(spark, sf_dir), path)
-    back = readers.read_table_csv(spark, path, RAW_DDL, ("query", "label"))
-    return back.select("row_id", "query", "title", "abstract", "label")
+def _csv_round_trip(split: bool) -> Query:
+    def query(spark, sf_dir):
+        path = scratch_path(spark, "csv")
+        writers.write_csv(tables.raw_qa(spark, sf_dir), path)
+        back = readers.read_table_csv(spark, path, RAW_DDL, ("query", "label"), split=split)
+        return back.select("row_id", "query", "title", "abstract", "label")
+
+    return query
 
 
 def with_defaults(spark, sf_dir):
@@ -767,7 +770,8 @@ QUERIES: dict[str, Query] = {
     "augment": augment,
     "score_pairs": score_pairs,
     "scores_to_columns": scores_to_columns,
-    "csv_round_trip": csv_round_trip,
+    "csv_round_trip": _csv_round_trip(split=False),
+    "csv_split_round_trip": _csv_round_trip(split=True),
     "with_defaults": with_defaults,
     "read_lines": read_lines,
     "jsonl_round_trip": jsonl_round_trip,

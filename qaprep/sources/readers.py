@@ -13,6 +13,7 @@ from pyspark.sql.window import Window as W
 from qaprep.functions.prompts import column_prompt
 from qaprep.functions.text import clean_text, strip
 from qaprep.session import scratch_path
+from qaprep.sources.quoted_csv import read_quoted_csv
 
 METRICS_FILE = "eval_metrics.json"
 
@@ -59,12 +60,15 @@ def read_table_csv(
     required: Iterable[str] = (),
     path_filter: str | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """CSV with a header row; quoted fields may hold quotes and line breaks.
 
-    Line breaks inside fields mean that one file is read by one task. Without
-    them give `multi_line=False`, and large files are split. The schema names the columns to expect; the
-    header decides which of them are there.
+    Line breaks inside fields mean that one file is read by one task, unless
+    `split` is set: then quotes are counted first and large files are split, see
+    `read_quoted_csv`. Where no field holds a line break give `multi_line=False`, and
+    large files are split. The schema names the columns to expect; the header
+    decides which of them are there.
     """
     options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"'}
     if path_filter:
@@ -74,7 +78,10 @@ def read_table_csv(
     types = {f.name: f.dataType for f in wanted}
     found = StructType([StructField(c, types.get(c, StringType())) for c in header])
     # Files whose header differs from the first one's fail instead of shifting.
-    df = spark.read.schema(found).options(**options).csv(path, enforceSchema=False)
+    if split:
+        df = read_quoted_csv(spark, path, header, found, options)
+    else:
+        df = spark.read.schema(found).options(**options).csv(path, enforceSchema=False)
     require_columns(df, required)
     return df.select(*[c for c in header if c in types])
 
@@ -148,12 +155,18 @@ def stack_splits(parts: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def read_presplit(
-    spark: SparkSession, paths: Mapping[str, str | list[str]], schema: StructType | str
+    spark: SparkSession,
+    paths: Mapping[str, str | list[str]],
+    schema: StructType | str,
+    multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
-    """CSV files that are already split, as one table with a `split` column."""
-    return stack_splits(
-        {split: read_table_csv(spark, path, schema) for split, path in paths.items()}
-    )
+    """CSV files that are already split, as one table with a `split` column.
+
+    `multi_line` and `split` are those of `read_table_csv`.
+    """
+    options = {"multi_line": multi_line, "split": split}
+    return stack_splits({name: read_table_csv(spark, path, schema, **options) for name, path in paths.items()})
 
 
 def _canonical(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, bool]]:

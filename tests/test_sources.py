@@ -194,3 +194,58 @@ def test_a_repeated_commit_changes_nothing(spark, tmp_path):
     writers.append_metrics(part(("y", 3.0)), path, "eval/7 %+")
     writers.append_metrics(part(("z", 4.0)), path, "other")
     assert read() == [("x", "bleu", 1.0), ("y", "bleu", 3.0), ("z", "bleu", 4.0)]
+
+
+@pytest.fixture
+def small_parts(spark):
+    """Files are cut into parts of a few hundred bytes, several parts a task."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "300")
+    spark.conf.set(names[1], "0")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+QUOTED = "id int, query string, label string"
+
+
+def _quoted_rows(n):
+    odd = ['plain', 'two\nlines', 'a "quoted" word', '"\n"', ',\n,', 'x' * 700 + '\n' + 'y' * 700, 'é ß', None]
+    return [(i, odd[i % 8], odd[(i // 8 + i) % 8]) for i in range(n)]
+
+
+@pytest.mark.parametrize("ends", ["\n", "\r\n"])
+@pytest.mark.parametrize("broadcast_parts", [0, 1000])
+def test_csv_is_split_inside_quotes(spark, tmp_path, small_parts, ends, broadcast_parts, monkeypatch):
+    import csv
+    import functools
+
+    path = tmp_path / "in"
+    path.mkdir()
+    for f in range(2):
+        with open(path / f"{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=ends)
+            writer.writerows([("id", "query", "label"), *_quoted_rows(150), ()])
+    split = functools.partial(readers.read_quoted_csv, broadcast_parts=broadcast_parts)
+    monkeypatch.setattr(readers, "read_quoted_csv", split)
+    one_task = readers.read_table_csv(spark, str(path), QUOTED)
+    many = readers.read_table_csv(spark, str(path), QUOTED, split=True)
+    assert many.schema == one_task.schema
+    if broadcast_parts:  # else small parts are shuffled into few
+        assert many.rdd.getNumPartitions() > 20
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one_task.collect()))
+    assert many.count() == 300
+
+
+def test_split_csv_checks_the_header_of_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,query\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('query,id\n"x\ny",1\n')
+    with pytest.raises(Exception, match="header of"):
+        readers.read_table_csv(spark, str(tmp_path), "id int, query string", split=True).collect()
+
+
+def test_split_csv_without_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,query\n")
+    assert readers.read_table_csv(spark, str(tmp_path), "id int, query string", split=True).count() == 0
