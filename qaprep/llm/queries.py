@@ -117,7 +117,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    return records.withColumnRenamed("source_id", "page_id")
+    written = records.withColumn("record_digest", warc.digest(warc.record_text()))
+    return written.withColumnRenamed("source_id", "page_id")
 
 
 def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,9 +25,21 @@ def _urn(*parts: str) -> str:
 
 
 def _unescaped(text: str) -> str:
-    for entity, sign in warc.ENTITIES:
-        text = f"replace({text}, {_quoted(entity)}, {_quoted(sign)})"
-    return text
+    """References are taken piece by piece between ampersands."""
+    known = "MAP {" + ", ".join(f"'{name}': {code}" for name, code in sorted(warc.NAMED.items())) + "}"
+    name = f"regexp_extract(p, {_quoted(warc.REFERENCE)}, 1)"
+    code = (
+        f"CASE WHEN {name} = '' THEN NULL WHEN regexp_matches({name}, '^#[0-9]') THEN substr({name}, 2)::INT "
+        f"WHEN {name}[1] = '#' THEN ('0x' || substr({name}, 3))::INT ELSE ({known})[{name}] END"
+    )
+    sign = (
+        f"CASE {code} WHEN {warc.HARD_SPACE} THEN chr({warc.SPACE}) WHEN {warc.BYTE_ORDER} THEN '' "
+        f"ELSE chr({code}) END"
+    )
+    valid = f"({code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111)"
+    resolved = f"CASE WHEN {valid} THEN {sign} || substr(p, length({name}) + 2) ELSE '&' || p END"
+    pieces = f"string_split({text}, '&')"
+    return f"array_to_string(list_transform({pieces}, lambda p, i: CASE WHEN i = 1 THEN p ELSE {resolved} END), '')"
 
 
 def _warc() -> str:
@@ -44,6 +56,13 @@ def _warc() -> str:
         f"'title: ' || {title} || {crlf} || 'language: ' || regexp_extract(payload, {_quoted(warc.LANGUAGE)}, 1)"
         f" || {crlf} || 'source-digest: ' || source_digest || array_to_string({out}, '')"
     )
+    header = f"list_transform(list_filter(string_split(source_header, {crlf}), lambda x: x <> ''), lambda x: 'X-Source-Header: ' || x)"
+    record = f"""concat_ws({crlf}, 'WARC/1.0', 'WARC-Type: ' || warc_type,
+    'WARC-Record-ID: ' || {_urn("warc_type", "refers_to")}, 'WARC-Refers-To: ' || refers_to,
+    'WARC-Target-URI: ' || {_every("url", r"[\r\n]+", "' '")},
+    'WARC-Block-Digest: sha256:' || sha256(content), 'X-Source-Payload-Digest: ' || source_digest,
+    array_to_string({header}, {crlf}), 'Content-Type: ' || content_type,
+    'Content-Length: ' || octet_length(encode(content)), '', content, '', '')"""
     return f"""
 WITH page AS (
   SELECT page_id, url, coalesce(html, '') AS payload FROM pages
@@ -59,8 +78,9 @@ WITH page AS (
   SELECT *, 'conversion', 'text/plain', {text} FROM response
 )
 SELECT page_id, warc_type, {_urn("warc_type", "refers_to")} AS record_id, refers_to, url AS target_uri,
-  '{warc.NEVER}' AS date, content_type, source_header, source_digest,
-  'sha256:' || sha256(content) AS block_digest, octet_length(encode(content))::BIGINT AS content_length, content
+  NULL::VARCHAR AS date, content_type, source_header, source_digest,
+  'sha256:' || sha256(content) AS block_digest, octet_length(encode(content))::BIGINT AS content_length, content,
+  'sha256:' || sha256({record}) AS record_digest
 FROM derived"""
 
 

@@ -640,6 +640,48 @@ def test_derivatives_refer_to_their_response(spark):
     assert warc.derive(source.limit(0)).count() == 0
     record = warc.rendered(warc.derive(source)).first().value
     assert record.startswith("WARC/1.0\r\n") and "WARC-Refers-To: <urn:uuid:" in record
+    assert "X-Source-Header: HTTP/1.1 200 OK\r\nX-Source-Header: Content-Type: " in record
+    assert "WARC-Date" not in record
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("caf&eacute; &mdash; it&#8217;s &#x1F600;&#X41;", "café — it’s 😀A"),
+        ("&amp;lt; &amp &; &nosuch; &#0; &#xD800; &#1114112; &&lt;&", "&lt; &amp &; &nosuch; &#0; &#xD800; &#1114112; &<&"),
+        ("a&nbsp;b&#65279;c&apos;", "a bc'"),
+        ("a<script>b < c; d", "a"),
+        ("a<!-- b <p>c", "a"),
+        ("a<style>b{}</style>c<title>d", "ac"),
+        ("a<STYLE>b</Style >c<!-->d-->e", "ace"),
+        ("&lt;b&gt;x&lt;/b&gt;", "<b>x</b>"),
+        ("", ""),
+        ("w&eacute; " * 200_000, ("wé " * 200_000).strip()),
+    ],
+)
+def test_text_of_a_page(spark, html, text):
+    rows = spark.createDataFrame([(html,)], "html string")
+    assert rows.select(warc.plain_text(F.col("html")).alias("t")).first().t == text
+
+
+def test_every_reference_of_the_standard_is_resolved(spark):
+    import html.entities
+
+    names = {n: c for n, c in html.entities.name2codepoint.items() if c != 160}
+    rows = spark.createDataFrame([(f"&{n};", chr(c)) for n, c in names.items()], "r string, c string")
+    assert rows.where(warc.unescaped(F.col("r")) != F.col("c")).count() == 0
+
+
+def test_derivatives_read_no_clashing_column(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a", "<p>x", "own", "y", "2026-01-02T03:04:05Z"), (None, None, None, None, None, None)],
+        "page_id long, url string, html string, record_id string, content string, date string",
+    )
+    plain = warc.derive(warc.responses(pages.select("page_id", "url", "html"))).collect()
+    assert warc.derive(warc.responses(pages)).collect() == plain
+    dated = warc.derive(warc.responses(pages, date="date"))
+    assert {r.date for r in dated.collect()} == {"2026-01-02T03:04:05Z", None}
+    assert any("WARC-Date: 2026-01-02T03:04:05Z" in r.value for r in warc.rendered(dated).collect())
 
 
 # Queries and pipeline
