@@ -19,6 +19,8 @@ from qaprep.operators.running import (
 
 SEED_PATTERN = r"^(.*)_seed(\d+)$"
 FRONTIER_CHUNKS = 256
+#: Parts of a group whose own frontiers are taken first.
+FRONTIER_PARTS = 4096
 #: Leading bits that a latency in microseconds keeps in a quantile sketch.
 SKETCH_BITS = 8
 
@@ -216,12 +218,18 @@ def pareto(
     """Rows that no other row of the group beats in latency and quality.
 
     A row whose latency or quality is NULL or NaN is no point and never kept.
-    Rows are reduced to the best quality of each latency, which are then
-    scanned in chunks between approximate latency quantiles.
+    Rows are reduced to the best quality of each latency, and these to the
+    frontiers of `FRONTIER_PARTS` parts of each group. Only what is left of a
+    group is scanned, in chunks between approximate latency quantiles.
     """
     keys = list(by)
     known = _direction(latency, True).isNotNull() & _direction(quality, True).isNotNull()
     points = df.filter(known).groupBy(*keys, latency).agg(F.max(quality).alias("_top"))
+    # What its own part beats is beaten in the group. All rows of a latency are in one part.
+    part = F.pmod(F.xxhash64(latency), F.lit(FRONTIER_PARTS))
+    faster = W.partitionBy(*keys, part).orderBy(latency).rowsBetween(W.unboundedPreceding, -1)
+    local = points.withColumn("_faster", F.max("_top").over(faster))
+    points = local.filter(F.col("_faster").isNull() | (F.col("_top") > F.col("_faster"))).drop("_faster")
     cuts = [i / chunks for i in range(1, chunks)]
     bounds = points.groupBy(*keys).agg(
         F.percentile_approx(latency, F.array(*[F.lit(c) for c in cuts]), 10 * chunks).alias(
