@@ -1,14 +1,20 @@
 from __future__ import annotations
 
+import json
+import math
+import os
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-from qaprep.operators import batch
+from qaprep.operators import batch, runs
 from qaprep.plans.curate import CLEAN, curate
 from qaprep.plans.tables import raw_qa
 from qaprep.sources.writers import write_csv
+from qaprep.streaming import evaluations
 from qaprep.streaming.curation import RAW_SCHEMA, curate_stream
 from tests.conftest import plan_text
 
@@ -101,3 +107,45 @@ def test_a_filter_does_not_run_the_model_twice(spark):
     scored = batch.batch_score(df, ["predicted"], make, DoubleType()).where("prediction > 0")
     assert plan_text(scored).count("ArrowEvalPython [") == 1
     assert scored.count() == 1
+
+
+def _arrivals(folder, batches):
+    """One JSON file for each batch of rows, each a second younger than the last."""
+    folder.mkdir(exist_ok=True)
+    have = len(list(folder.iterdir()))
+    for i, rows in enumerate(batches, have):
+        file = folder / f"{i}.json"
+        file.write_text("".join(json.dumps(dict(zip(("run", "step", "metric"), r))) + "\n" for r in rows))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def _status(spark, folder, patience, greater):
+    names = [str(folder / n) for n in ("in", "out", "checkpoint")]
+    evaluations.early_stop_stream(spark, *names, patience, greater, files_per_trigger=1).awaitTermination()
+    return evaluations.latest_status(spark.read.parquet(names[1]))
+
+
+@pytest.mark.parametrize("greater", [True, False])
+def test_early_stops_as_evaluations_arrive(spark, tmp_path, greater):
+    rng = random.Random(4)
+    value = lambda: rng.choice([float(rng.randint(0, 9)), float(rng.randint(0, 9)), math.nan, None])
+    # Steps repeat within a batch, runs have a step now and then, one run has no name.
+    batches = [
+        [(run, 10 * b + rng.randint(0, 6), value()) for run in ("a", "b", None) for _ in range(rng.randint(0, 5))]
+        for b in range(5)
+    ]
+    batches[0] += [("nan", 1, math.nan), ("nan", 2, math.nan), ("short", 3, 1.0)]
+    rows = [r for b in batches for r in b]
+    _arrivals(tmp_path / "in", batches[:3])
+    _status(spark, tmp_path, 3, greater)
+    _arrivals(tmp_path / "in", batches[3:])  # a second start goes on from the state
+    found = _status(spark, tmp_path, 3, greater)
+    expected = runs.early_stop(spark.createDataFrame(rows, evaluations.EVAL_SCHEMA), 3, greater=greater)
+    assert sorted(map(repr, found.drop("n_late").collect())) == sorted(map(repr, expected.collect()))
+    assert found.agg(F.sum("n_late")).first()[0] == 0
+
+
+def test_late_evaluations_are_counted_and_change_nothing(spark, tmp_path):
+    _arrivals(tmp_path / "in", [[("a", 5, 1.0), ("a", 6, 0.5)], [("a", 5, 9.0), ("a", 4, 9.0), ("a", 7, 0.5)], []])
+    row = _status(spark, tmp_path, 2, True).collect()
+    assert [tuple(r) for r in row] == [("a", 7, 3, 1.0, 5, 2)]
