@@ -689,6 +689,8 @@ SELECT run, max(total)::BIGINT AS n_runs, round(min(bucket) FILTER (upto * 100 >
     "running_best_lower": running_best(greater=False),
     "early_stop": f"""WITH {STOPS} SELECT run, stop_step, n_evals,
        round(metric, 6) AS best_metric, step AS best_step FROM best WHERE place = 1""",
+    "early_stop_stream": f"""WITH {STOPS} SELECT run, stop_step, n_evals,
+       round(metric, 6) AS best_metric, step AS best_step FROM best WHERE place = 1""",
     "best_checkpoint": f"""WITH {STOPS}
 SELECT run, step AS best_step, round(metric, 6) AS best_metric FROM best WHERE place = 1""",
     "step_profile": f"""WITH {TRAIN_LOG}, firsts AS (

@@ -26,6 +26,7 @@ from qaprep.plans.curate import (
 from qaprep.plans.evaluate import evaluate, evaluate_rows, text_metrics, with_rouge
 from qaprep.session import scratch_path
 from qaprep.sources import readers, writers
+from qaprep.streaming import evaluations
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -400,6 +401,16 @@ def running_best_lower(spark, sf_dir):
     return _rounded(best, "metric", "best_before")
 
 
+def early_stop_stream(spark, sf_dir):
+    """The evaluations as JSON files, read by a stream; the state at its end."""
+    names = [scratch_path(spark, name) for name in ("evaluations", "status", "status-checkpoint")]
+    log = tables.eval_log(spark, sf_dir)
+    log.write.json(names[0])
+    evaluations.early_stop_stream(spark, *names, PATIENCE).awaitTermination()
+    last = evaluations.latest_status(spark.read.parquet(names[1])).drop("n_late")
+    return _rounded(last.withColumn("run", F.col("run").cast(log.schema["run"].dataType)), "best_metric")
+
+
 def early_stop(spark, sf_dir):
     return _rounded(runs.early_stop(tables.eval_log(spark, sf_dir), PATIENCE), "best_metric")
 
@@ -756,6 +767,7 @@ QUERIES: dict[str, Query] = {
     "running_best": running_best,
     "running_best_lower": running_best_lower,
     "early_stop": early_stop,
+    "early_stop_stream": early_stop_stream,
     "best_checkpoint": best_checkpoint,
     "step_profile": step_profile,
     "compare_runs": compare_runs,
