@@ -358,6 +358,19 @@ def test_secrets_are_found_and_plain_words_stay(spark, odd, none):
     assert secrets.scan(none, secrets.fit(none)).count() == 0
 
 
+def test_dictionary_holds_every_word_with_its_share(spark):
+    """A word whose occurrences are spread thinly over tasks is counted whole."""
+    rare = lambda i: " ".join(f"w{i}x{j}" for j in range(8_500))
+    texts = [f"harbour {rare(i)} Harbour" for i in range(6)]
+    least = sum(len(t.split()) for t in texts) // secrets.DICTIONARY
+    counts = Counter(w.encode() for t in texts for w in t.lower().split())
+    assert counts[b"harbour"] == least == 12
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in texts], 6), "text string")
+    for held in (secrets.COUNTED_WORDS, 100):
+        corpus = secrets.corpus_statistics(df, held_words=held)
+        assert corpus.words == {w for w, n in counts.items() if n >= least} == {b"harbour"}
+
+
 # Decontamination
 
 
