@@ -508,6 +508,87 @@ def test_passages_shared_by_documents(spark, odd, none):
     assert substrings.duplicate_passages(none).count() == 0
 
 
+def test_passages_around_a_common_phrase_are_all_linked(spark):
+    """Windows around a phrase of all texts have one signature; each text has one partner."""
+    phrase = prose(400, 36)
+    def text(i):
+        return f"{prose(500 + i, 60)} {prose(900 + i // 2, 9)} {phrase} {prose(1300 + i // 2, 9)} {prose(1700 + i, 60)}"
+    df = spark.createDataFrame([(i, text(i)) for i in range(120)], "doc_id long, text string").repartition(3)
+    got: dict[int, list] = {}
+    for r in substrings.duplicate_passages(df).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.stop, r.class_id))
+    for i in range(120):
+        [(start, stop, k)] = got[i]
+        assert k == i // 2 * 2 and abs(start - 60) <= 4 and abs(stop - 114) <= 4
+
+
+def test_pairs_left_out_of_a_tile_change_nothing():
+    """Passages and classes are those of all pairs of the members."""
+    rng = random.Random(5)
+    hubs = [prose(2000, 70).split(), prose(2001, 60).split()]
+    rows = [(0, -1, 0, " ".join(hubs[0] + prose(2002, 40).split() + hubs[1]).encode())]
+    for i in range(1, 40):
+        words = prose(2100 + i, 20).split()
+        for part in rng.choice((hubs[:1], hubs[1:], hubs)):
+            part = [w if rng.random() > 0.01 else f"v{rng.randrange(4)}" for w in part]
+            words += part + prose(2200 + i % 7, rng.choice((0, 15, 60))).split() + prose(2300 + i, 10).split()
+        rows.append((i, 0, i, " ".join(words).encode()))
+
+    def result(found):
+        covered, parent = {}, {}
+        for t, s, e, f, s2, e2 in found:
+            for text, a, b in ((t, s, e), (f, s2, e2)):
+                covered.setdefault(text, set()).update(range(a, b))
+        nodes = {}
+        for text, words in covered.items():  # maximal stretches
+            for w in sorted(words):
+                nodes[text, w] = nodes[text, w - 1] if w - 1 in words else (text, w)
+
+        def root(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        for t, s, _, f, s2, _ in found:
+            a, b = sorted((root(nodes[t, s]), root(nodes[f, s2])))
+            parent[b] = a
+        return {w: root(n) for w, n in nodes.items()}
+
+    tiled = substrings.compare(True, True, rows)
+    plain = []
+    for x in rows:
+        for y in rows[: x[0]]:
+            plain += substrings.compare(False, True, [y, x])
+    assert set(tiled) < set(plain) and result(tiled) == result(plain)
+    # Two sides of a tile and their diagonals are the whole.
+    sides = [rows[0], *rows[1:20], *[(t, 1, s, p) for t, _, s, p in rows[20:]]]
+    parts = substrings.compare(True, False, sides)
+    parts += substrings.compare(True, True, rows[:20]) + substrings.compare(True, True, rows[:1] + rows[20:])
+    assert set(parts) <= set(plain) and result(parts) == result(plain)
+
+
+def test_meetings_are_all_pairs_or_members_of_a_hub():
+    rng = np.random.default_rng(8)
+    rows = np.unique(rng.integers(0, [[30], [25], [3]], (3, 900)), axis=1)
+    rows = np.concatenate([rows[:, rows[0] != 4], np.stack([np.full(5, 40), np.arange(5), np.arange(5)])], 1)
+    rows = rows[:, np.lexsort(rows[::-1])]
+    twice = np.repeat(rows, 2, axis=1)
+    want = set()
+    for key in np.unique(rows[0]):
+        own = [(int(t), int(p)) for k, t, p in rows.T if k == key]
+        if len(own) > substrings.LISTED_WINDOWS:
+            want |= {(True, t, p, own[0][0], 0) for t, p in own}
+        else:
+            want |= {(False, t, p, f, q) for f, q in own for t, p in own if f < t}
+    for size in (1, 7, 100, 5_000):
+        got, hub, kept = [], None, rows[:, :0]
+        for i in range(0, twice.shape[1], size):
+            hub, kept, found = substrings._met(np.concatenate([kept, twice[:, i : i + size]], 1), hub, False)
+            got += [tuple(r.values()) for r in found.to_pylist()]
+        got += [tuple(r.values()) for r in substrings._met(kept, hub, True)[2].to_pylist()]
+        assert set(got) == want
+
+
 # Personal data
 
 PATTERNS = {
