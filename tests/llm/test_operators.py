@@ -567,6 +567,34 @@ def test_pairs_left_out_of_a_tile_change_nothing():
     assert set(parts) <= set(plain) and result(parts) == result(plain)
 
 
+def test_members_that_share_too_little_are_not_verified(monkeypatch):
+    """Neither with one another nor with the hub; pieces may be numbers of words."""
+    phrase = prose(2400, 20)
+    texts = [f"{prose(2500 + i, 30)} {phrase} {prose(2600 + i // 2, 40)} {prose(2700 + i, 30)}".encode() for i in range(60)]
+    rows = [(i, -1 if i == 0 else 0, 0, t) for i, t in enumerate(texts)]
+    asked, plain = [], substrings.verified
+    monkeypatch.setattr(substrings, "verified", lambda *args: asked.append(1) or plain(*args))
+    found = substrings.compare(True, True, rows)
+    assert len(asked) <= 35 and {(r[0], r[3]) for r in found} == {(i + 1, i) for i in range(0, 60, 2)}
+    assert substrings.compare(True, True, [(*r[:3], substrings.numbers_of(r[3])) for r in rows]) == found
+
+
+def test_shared_shingles_are_counted_in_matrices_and_lists(monkeypatch):
+    rng = np.random.default_rng(12)
+    arrays = [np.unique(rng.integers(0, 40, rng.integers(0, 25)) ** 2).astype(np.uint64) for _ in range(30)]
+    ends = np.cumsum([0] + [len(x) for x in arrays])
+    weights, there = rng.random(ends[-1]) < 0.5, rng.random(ends[-1]) < 0.5
+    parts = [(x, weights[e : e + len(x)], there[e : e + len(x)]) for x, e in zip(arrays, ends)]
+    left, right = np.arange(3, 14), np.arange(10, 30)
+    want = [[[w[np.isin(x, y[t])].sum() for y, _, t in (parts[j] for j in right)] for x, w, _ in (parts[i] for i in left)],
+            [[w[np.isin(y, x[t])].sum() for y, w, _ in (parts[j] for j in right)] for x, _, t in (parts[i] for i in left)]]
+    for rare, pairs, columns in ((0, 1, 7), (1, 1 << 21, 7), (4, 5, 7), (1 << 20, 7, 3)):
+        monkeypatch.setattr(substrings, "_RARE", rare)
+        monkeypatch.setattr(substrings, "_PAIRS", pairs)
+        monkeypatch.setattr(substrings, "_COLUMNS", columns)
+        assert np.array_equal(substrings._Shared(arrays).sums(left, right, weights, there), want)
+
+
 def test_meetings_are_all_pairs_or_members_of_a_hub():
     rng = np.random.default_rng(8)
     rows = np.unique(rng.integers(0, [[30], [25], [3]], (3, 900)), axis=1)
