@@ -7,6 +7,7 @@ import os
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -567,6 +568,110 @@ def test_pairs_left_out_of_a_tile_change_nothing():
     assert set(parts) <= set(plain) and result(parts) == result(plain)
 
 
+def passages_and_classes(found):
+    """Of each covered word of a text its class, from LINK rows."""
+    found, ends = list(found), {}
+    for t, s, e, f, s2, e2 in found:
+        ends.setdefault(t, set()).add((s, e))
+        ends.setdefault(f, set()).add((s2, e2))
+    node, parent = {}, {}
+    for t, own in ends.items():
+        opens = stop = -1
+        for s, e in sorted(own):
+            opens, stop = (s, e) if s >= stop else (opens, max(stop, e))
+            node[t, s] = t, opens
+
+    def root(x):
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for t, s, _, f, s2, _ in found:
+        a, b = sorted((root(node[t, s]), root(node[f, s2])))
+        parent[b] = a
+    return {(t, w): root(node[t, s]) for t, own in ends.items() for s, e in own for w in range(s, e)}
+
+
+def near_copies(n, seed, length=150, edits=6):
+    """Texts of one length with words changed at random places."""
+    rng, words = random.Random(seed), prose(seed, length).split()
+    return [" ".join(w if rng.random() > edits / length else f"v{rng.randrange(9)}" for w in words) for _ in range(n)]
+
+
+def test_links_of_a_tile_are_as_many_as_its_passages(monkeypatch):
+    rng = random.Random(31)
+    for size, spans in ((5, 3), (60, 40), (400, 200)):
+        found = []
+        for _ in range(size):
+            t, f = rng.sample(range(-4, 6), 2)
+            s, s2 = rng.randrange(spans) * 20, rng.randrange(spans) * 20
+            found.append((t, s, s + rng.choice((15, 20, 30)), f, s2, s2 + rng.choice((15, 20, 30))))
+        fewer = substrings.forest(found)
+        want = passages_and_classes(found)
+        assert passages_and_classes(fewer) == want
+        nodes = {r[:3] for r in fewer} | {r[3:] for r in fewer}
+        assert len(fewer) == len(nodes) - len(set(want.values()))
+        monkeypatch.setattr(substrings, "_HELD", 7)
+        assert passages_and_classes(substrings.reduced(iter(found))) == want
+
+
+def test_tiles_of_several_blocks_compare_all_members(monkeypatch):
+    texts = near_copies(40, 2750) + [f"{prose(2800 + i, 30)} {prose(2900 + i % 8, 60)}" for i in range(40)]
+    rows = [(i, -1 if i == 0 else 0, 0, substrings.numbers_of(t.encode())) for i, t in enumerate(texts)]
+    want = passages_and_classes([r for x in rows for y in rows[: x[0]] for r in substrings.compare(False, True, [y, x])])
+    halves = [(t, int(side == 0 and t % 2), s, p) for t, side, s, p in rows[1:]]
+    halves = [rows[0], *sorted(halves, key=lambda r: (r[1], r[0]))]
+    for block in (7, 16, 1_000):
+        monkeypatch.setattr(substrings, "BLOCK", block)
+        assert passages_and_classes(substrings.compare_tile(True, rows)) == want
+        parts = list(substrings.compare_tile(False, halves))
+        for side in (0, 1):
+            parts += substrings.compare_tile(True, [rows[0], *((t, 0, s, p) for t, k, s, p in halves[1:] if k == side)])
+        assert passages_and_classes(parts) == want
+
+
+def test_pieces_of_a_large_hub_go_to_few_tiles(spark, monkeypatch):
+    """However many blocks it has, and texts of pairs go to the tile of the first one."""
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    hub = [(True, i, 3, 1, 10, 80, 0, 1) for i in range(3, 403)] + [(True, i, 2, 1, 10, 80, 0, 1) for i in range(2, 8)]
+    pairs = [(False, i, 1, 2, 5, 60 + i, 10 - i, 70) for i in range(2, 9)]
+    met = spark.createDataFrame(
+        hub + pairs, "hubbed boolean, text long, first_text long, meets long, lo long, hi long, first_lo long, first_hi long"
+    )
+    rows = substrings.tiles(met).collect()
+    parts = {(r.hubbed, r.one): r.parts for r in rows}
+    assert parts == {(True, 3): substrings.PARTS, (True, 2): 2, (False, 1): 1}
+    assert {r.part for r in rows if r.hubbed and r.one == 3} == {-1, 0, 1, 2, 3}
+    listed = sorted((r.part, r.text, r.lo, r.hi, r.first_lo, r.first_hi) for r in rows if not r.hubbed)
+    assert listed == [(-1, 1, 2, 70, 0, 0)] + [(0, i, 5, 60 + i, 10 - i, 70) for i in range(2, 9)]
+
+
+def test_links_of_near_copies_grow_with_the_copies(spark):
+    """Not with their pairs."""
+    texts = near_copies(90, 2760)
+    df = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) text_id", "text")
+    found = [tuple(r) for r in substrings.links(df).collect()]
+    pieces = sorted((r.text_id, 0, 0, substrings.numbers_of(r.text.encode())) for r in df.collect())
+    plain = [r for i, x in enumerate(pieces) for y in pieces[:i] for r in substrings.compare(False, True, [y, x])]
+    assert passages_and_classes(found) == passages_and_classes(plain)
+    assert len(found) < 4 * len(texts) < len(plain) / 4
+
+
+def test_shuffles_that_led_to_a_table_are_not_kept(spark):
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def kept():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if re.match(r"shuffle_.*\.data", f)}
+
+    before, setting = kept(), spark.conf.get(substrings._FREED, None)
+    saved = substrings._saved(spark.range(50_000).repartition(3, "id"), "freed")
+    for _ in range(50):
+        if not (more := kept() - before):
+            break
+        time.sleep(0.1)
+    assert not more and saved.count() == 50_000 and spark.conf.get(substrings._FREED, None) == setting
+
+
 def test_members_that_share_too_little_are_not_verified(monkeypatch):
     """Neither with one another nor with the hub; pieces may be numbers of words."""
     phrase = prose(2400, 20)
