@@ -672,6 +672,36 @@ def test_shuffles_that_led_to_a_table_are_not_kept(spark):
     assert not more and saved.count() == 50_000 and spark.conf.get(substrings._FREED, None) == setting
 
 
+def test_verification_with_known_mates_changes_nothing():
+    rng = np.random.default_rng(17)
+    found = 0
+    for i in range(600):
+        a = rng.integers(0, rng.choice([3, 30, 100_000]), 160).astype(np.uint32)
+        s, t, m = rng.integers(0, 100, 3)
+        b = np.concatenate([a[:t], a[s : s + m], a[t:]]) if i % 3 else np.delete(a, slice(s, s + m // 4))
+        for _ in range(rng.integers(0, 8)):
+            b[rng.integers(0, len(b))] = rng.integers(0, 100)
+        shared = substrings._Shared([substrings.shingles(x) for x in (a, b)])
+        x, y = (substrings.shingles(v) for v in (a, b))
+        assert shared.simple.tolist() == [len(set(v.tolist())) == len(v) for v in (x, y)]
+        for one, two, p, q in ((0, 1, x, y), (1, 0, y, x), (0, 1, x, y)):
+            mates = [next((j for j, w in enumerate(q.tolist()) if w == v), -1) for v in p.tolist()]
+            assert shared.mates(one, two).tolist() == substrings.mates_of(p, q).tolist() == mates
+            plain = substrings.verified(p, q)
+            assert substrings.verified(p, q, shared.mates(one, two), shared.simple.all()) == plain
+            assert not plain or shared.able.all()
+            found += len(plain)
+    assert found > 600
+
+
+def test_words_are_counted_as_split():
+    rng = random.Random(18)
+    for _ in range(200):
+        texts = [rng.choice((None, "", "".join(rng.choice("ab \t\n\r\v\f\x1c\u00a0é ") for _ in range(rng.randrange(25))))) for _ in range(5)]
+        [got] = substrings._counter()(common.strings(texts))
+        assert got.to_pylist() == [len((t or "").encode().split()) for t in texts]
+
+
 def test_members_that_share_too_little_are_not_verified(monkeypatch):
     """Neither with one another nor with the hub; pieces may be numbers of words."""
     phrase = prose(2400, 20)
